@@ -17,9 +17,28 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat_format import digests, prefix_targets
+
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    text = "<|im_end|><|im_start|>assistant ok"
+    more = spark.range(2).select(F.lit(-1).cast("bigint"), F.col("id"), F.when(F.col("id") == 0, "user").otherwise("assistant"), F.lit(text))
+    return digests(prefix_targets(turns.union(more)))
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contamination
+
+    out = contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    ids = F.sha2(F.array_join("items", ","), 256)
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), ids.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .oracles import SQL
+
+    return {k: v for k, v in SQL.items() if k in queries()}
