@@ -26,6 +26,17 @@ def op2_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(prefix_targets(turns.union(more)))
 
 
+def op8_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .weighted_sampling import edited_pairs, likeness, to_text
+
+    out = edited_pairs(read(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id", F.col("n_chars").cast("bigint").alias("n_chars"), F.col("edited").alias("edited_sha256"),
+        to_text(F.col("own")).alias("fingerprint"), to_text(F.col("changed")).alias("edited_fingerprint"),
+        likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), F.col("following")).alias("near_next"),
+    )
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contamination
 
