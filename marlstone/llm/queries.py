@@ -26,6 +26,13 @@ def op2_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(prefix_targets(turns.union(more)))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import remove_repeats
+
+    out = remove_repeats(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .weighted_sampling import edited_pairs, likeness, to_text
 
