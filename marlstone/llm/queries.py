@@ -26,6 +26,15 @@ def op2_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(prefix_targets(turns.union(more)))
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .packing import pack
+
+    out = pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return out.select("doc_id", "piece", "start", F.col("length").cast("bigint").alias("length"), F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import remove_repeats
 
@@ -33,6 +42,20 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def held_out(doc_id):
+    """Rows that no label may be learnt from: crc32 of the id as text, mod 4, is 2."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score, train
+
+    docs = read(spark, sf_dir, "documents")
+    labels = read(spark, sf_dir, "labels").where(~held_out(F.col("doc_id")))
+    out = score(docs, train(docs, labels))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "offending")
+
+
 def op8_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .weighted_sampling import edited_pairs, likeness, to_text
 
