@@ -43,4 +43,14 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(g.n, 0)::BIGINT AS n_remo
   sha256(array_to_string(list_filter(d.w, lambda x, i: NOT coalesce(list_contains(g.ps, i), false)), ' ')) AS kept_sha256
 FROM d LEFT JOIN g USING (r)"""
 
-SQL = {"op2_prefix_targets": OP2, "op6_substring_dedup": OP6, "op10_decontaminate": OP10}
+# SHA-1 in hexadecimal digits -> bits -> base32.
+OP9 = r"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+m AS (SELECT h, max(page_id) AS top FROM p GROUP BY h),
+bits AS (SELECT h, string_agg(right('000' || bin(('0x' || h[i])::INTEGER), 4), '' ORDER BY i) AS b FROM (SELECT DISTINCT h FROM p), range(1, 41) AS r(i) GROUP BY h),
+b32 AS (SELECT h, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + 16 * b[5 * i + 1]::INTEGER + 8 * b[5 * i + 2]::INTEGER + 4 * b[5 * i + 3]::INTEGER + 2 * b[5 * i + 4]::INTEGER + b[5 * i + 5]::INTEGER, 1), '' ORDER BY i) AS d FROM bits, range(0, 32) AS r(i) GROUP BY h)
+SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> top THEN top END AS refers_to
+FROM p JOIN m USING (h) JOIN b32 USING (h)"""
+
+SQL = {"op9_warc_zip": OP9, "op2_prefix_targets": OP2, "op6_substring_dedup": OP6, "op10_decontaminate": OP10}

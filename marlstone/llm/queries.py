@@ -67,6 +67,14 @@ def op8_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc_zip import archive_folder, read_archives, write_archives
+
+    manifest = write_archives(read(spark, sf_dir, "pages"), archive_folder(spark))
+    out = read_archives(manifest, payloads=False)
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contamination
 
