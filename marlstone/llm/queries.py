@@ -17,6 +17,13 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import report
+
+    out = report(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", "partners", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat_format import digests, prefix_targets
 
@@ -26,6 +33,22 @@ def op2_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(prefix_targets(turns.union(more)))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import document_rows, identify, train
+
+    docs = read(spark, sf_dir, "documents")
+    out = identify(document_rows(docs), train(docs))
+    return out.select(F.col("id").alias("doc_id"), "language", "confidence", "text_language", "letters", (~F.col("rejected")).alias("kept"))
+
+
+def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 4 on web pages, where markup, address suffix and host are evidence."""
+    from .language_id import identify, page_rows, train
+
+    out = identify(page_rows(read(spark, sf_dir, "pages")), train(read(spark, sf_dir, "documents")))
+    return out.select(F.col("id").alias("page_id"), "language", "confidence", "text_language", "letters", (~F.col("rejected")).alias("kept"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -84,7 +107,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: v for k, v in globals().items() if k.startswith("op")}
+    out = {k: v for k, v in globals().items() if k.startswith("op")} | {"language_id_pages": language_id_pages}
+    import corpus_pipeline
+
+    return out | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
