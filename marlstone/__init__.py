@@ -1 +1,11 @@
-"""Spark-native analytics over time-ordered market data."""
+"""Spark-native analytics over time-ordered market data.
+
+Kernels that run in Spark's Python workers are pickled by value: executors need no copy of this
+package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
