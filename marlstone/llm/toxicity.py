@@ -43,15 +43,6 @@ def _features(words) -> set[str]:
     return {x for w in words for x in (w, *(f"{w[:n]}*" for n in PREFIXES if len(w) > n))}
 
 
-def _sentences(text: str) -> list[tuple[int, int, frozenset]]:
-    word = re.compile(_WORD).findall
-    out = []
-    for m in re.finditer(_SENTENCE, text):
-        if words := frozenset(word(m[0].lower())):
-            out.append((m.start(), m.end(), words))
-    return out
-
-
 def fit(rows: list[tuple[str, int]], epochs: int = 150, rate: float = 0.15, penalty: float = 1e-4, least: int = 3) -> Model:
     """A model of (text, label) rows; words in fewer than ``least`` texts carry no weight."""
     rows = [(t or "", int(y)) for t, y in rows if y is not None]
@@ -59,16 +50,20 @@ def fit(rows: list[tuple[str, int]], epochs: int = 150, rate: float = 0.15, pena
     base = (positive + 0.5) / (len(rows) + 1)
     if not 0 < positive < len(rows):
         return Model(bias=float(np.log(1e-6)) if not positive else 0.0, base=base)
+    # Each text is split once, into sentences of distinct words; equal words are one object.
+    word, sentence, same = re.compile(_WORD).findall, re.compile(_SENTENCE).findall, {}
+    parsed = [[{same.setdefault(w, w) for w in words} for x in sentence(text.lower()) if (words := word(x))] for text, _ in rows]
     # Candidates are what some toxic texts have; of so many some go with the label by chance, so one
     # must do so beyond what the most extreme of them would (likelihood ratio, Bonferroni).
     toxic: Counter = Counter()
-    for text, label in rows:
+    for spans, (_, label) in zip(parsed, rows, strict=True):
         if label:
-            toxic.update(_features(set(re.findall(_WORD, text.lower()))))
+            toxic.update(_features(set().union(*spans)))
     toxic = Counter({x: k for x, k in toxic.items() if k >= least})
+    held = {w: tuple(x for x in _features((w,)) if x in toxic) for w in same}
     seen: Counter = Counter()
-    for text, _ in rows:
-        seen.update(x for x in _features(set(re.findall(_WORD, text.lower()))) if x in toxic)
+    for spans in parsed:
+        seen.update({x for words in spans for w in words for x in held[w]})
     share = positive / len(rows)
     limit = 2 * np.log(len(toxic) + 1) + MARGIN
 
@@ -77,23 +72,22 @@ def fit(rows: list[tuple[str, int]], epochs: int = 150, rate: float = 0.15, pena
         return k > n * share and 2 * (part(k, n * share) + part(n - k, n * (1 - share))) >= limit
 
     number = {x: i for i, x in enumerate(sorted(x for x, k in toxic.items() if telling(seen[x], k)))}
-    del seen, toxic
     if not number:
         return Model(bias=float(np.log(base / (1 - base))), base=base)
+    numbers = {w: [number[x] for x in found if x in number] for w, found in held.items()}
     sentence_of, word_of, doc_of, labels = [], [], [], []
-    for text, label in rows:
-        spans = _sentences(text)
-        if not spans:
-            continue
-        for _, _, words in spans:
-            known = [number[x] for w in words for x in _features((w,)) if x in number]
-            word_of.append(np.array(known, np.int32))
+    for spans, (_, label) in zip(parsed, rows, strict=True):
+        for words in spans:
+            known = [i for w in words for i in numbers[w]]
+            word_of += known
             sentence_of.append(len(known))
             doc_of.append(len(labels))
-        labels.append(label)
+        if spans:
+            labels.append(label)
+    del parsed, same, held, numbers, seen, toxic
     y, doc = np.array(labels), np.array(doc_of)
     sentence = np.repeat(np.arange(len(sentence_of)), sentence_of)
-    word = np.concatenate(word_of)
+    word = np.array(word_of, np.int64)
     del word_of
     w, b = np.zeros(len(number)), -np.log(len(doc) / max(1, positive))
     first_w, second_w, first_b, second_b = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
