@@ -53,6 +53,19 @@ def _moment(x: Column, aggregate: Column) -> Column:
     return F.when(F.count(x) == 0, missing()).when(undefined, nan()).otherwise(aggregate)
 
 
+def _standard(x: Column, over: Over | None) -> tuple[Column, Column]:
+    """Population skewness and excess kurtosis.  In a panel they are taken of deviations from the mean
+    in units of the largest, so that no power of a tiny spread vanishes; else Spark's own serve."""
+    if over is None:
+        return _moment(x, F.skewness(x)), _moment(x, F.kurtosis(x))
+    off = over.stage(x - F.avg(x).over(over.group))
+    z = over.stage(F.when(F.max(F.abs(off)).over(over.group) > 0, off / F.max(F.abs(off)).over(over.group)))
+    second = F.avg(z * z)
+    lost = F.pow(F.avg(off * off), F.lit(2.0)) == 0  # a spread below what doubles can square: undefined
+    skew = F.when(lost, nan()).otherwise(F.avg(z * z * z) / F.pow(second, F.lit(1.5)))
+    return _moment(x, skew), _moment(x, F.when(lost, nan()).otherwise(F.avg(z * z * z * z) / (second * second) - 3.0))
+
+
 # Returns.
 
 
@@ -71,14 +84,12 @@ def downside_deviation(returns: Column, *, periods_per_year: int, threshold: flo
 
 
 def skewness(returns: Column, *, over: Over | None = None) -> Column:
-    r = _input(returns, over)
-    return _moment(r, F.skewness(r))
+    return _standard(_input(returns, over), over)[0]
 
 
 def kurtosis(returns: Column, *, over: Over | None = None) -> Column:
     """Excess, of the population."""
-    r = _input(returns, over)
-    return _moment(r, F.kurtosis(r))
+    return _standard(_input(returns, over), over)[1]
 
 
 def win_rate(returns: Column, *, over: Over | None = None) -> Column:
@@ -138,7 +149,7 @@ def value_at_risk_modified(returns: Column, *, confidence: float = 0.95, over: O
     r = _input(returns, over)
     validate.confidence(confidence)
     z = NormalDist().inv_cdf(1.0 - confidence)
-    s, k = _moment(r, F.skewness(r)), _moment(r, F.kurtosis(r))
+    s, k = _standard(r, over)
     expanded = z + (z * z - 1.0) / 6.0 * s + (z**3 - 3.0 * z) / 24.0 * k - (2.0 * z**3 - 5.0 * z) / 36.0 * s * s
     slope = 1.0 + z / 3.0 * s + (z * z - 1.0) / 8.0 * k - (6.0 * z * z - 5.0) / 36.0 * s * s
     return F.when((slope <= 0.0) | (expanded * z < 0.0), nan()).otherwise(F.avg(r) + expanded * F.stddev_samp(r))
@@ -189,7 +200,8 @@ def adjusted_sharpe_ratio(returns: Column, *, periods_per_year: int, risk_free_r
     r = _input(returns, over)
     root = math.sqrt(periods_per_year) if periods_per_year >= 1 else 1.0
     s = sharpe_ratio(returns, periods_per_year=periods_per_year, risk_free_rate=risk_free_rate, over=over) / root
-    return root * s * (1.0 + skewness(r) / 6.0 * s - kurtosis(r) / 24.0 * s * s)
+    skew, tails = _standard(r, over)
+    return root * s * (1.0 + skew / 6.0 * s - tails / 24.0 * s * s)
 
 
 def probabilistic_sharpe_ratio(returns: Column, *, periods_per_year: int, benchmark_sharpe: float = 0.0, risk_free_rate: float = 0.0, over: Over | None = None) -> Column:
@@ -199,7 +211,8 @@ def probabilistic_sharpe_ratio(returns: Column, *, periods_per_year: int, benchm
     validate.finite(benchmark_sharpe, "benchmark_sharpe")
     excess = r - validate.period_rate(risk_free_rate, periods_per_year)
     s = div(F.avg(excess), _spread(excess))
-    width = F.sqrt(1.0 - skewness(r) * s + (kurtosis(r) + 2.0) / 4.0 * s * s)
+    skew, tails = _standard(r, over)
+    width = F.sqrt(1.0 - skew * s + (tails + 2.0) / 4.0 * s * s)
     return normal_cdf(div((s - benchmark_sharpe) * F.sqrt((F.count(r) - 1).cast("double")), width))
 
 

@@ -6,7 +6,7 @@ written as explicit weighted sums over the past, state machines as recursive que
 
 from __future__ import annotations
 
-from .queries import DIGITS, FAMILIES
+from .queries import DIGITS, FAMILIES, NUDGE
 
 BASE = """ev AS (SELECT event_type AS symbol, date_trunc('hour', ts) AS bar, 100.0::DOUBLE + value / 10.0 AS p, ts, event_id FROM events),
 ohlc AS (SELECT symbol, bar, first(p ORDER BY ts, event_id) AS o, max(p) AS h, min(p) AS l, last(p ORDER BY ts, event_id) AS c, count(*)::DOUBLE AS v FROM ev GROUP BY symbol, bar),
@@ -92,11 +92,11 @@ class Query:
         return self
 
     def rows(self, **out: str) -> str:
-        lanes = ", ".join(f"round({x}, {DIGITS}) AS {k}" for k, x in out.items())
+        lanes = ", ".join(f"round({x} + {NUDGE}, {DIGITS}) AS {k}" for k, x in out.items())
         return f"WITH RECURSIVE {', '.join(self.parts)} SELECT symbol, t, {lanes} FROM {self.at}"
 
     def groups(self, value: str) -> str:
-        return f"WITH RECURSIVE {', '.join(self.parts)} SELECT symbol, round({value}, {DIGITS}) AS value FROM {self.at} GROUP BY symbol"
+        return f"WITH RECURSIVE {', '.join(self.parts)} SELECT symbol, round({value} + {NUDGE}, {DIGITS}) AS value FROM {self.at} GROUP BY symbol"
 
 
 def _values(**plain: str) -> dict[str, str]:
@@ -279,7 +279,7 @@ def _metrics() -> dict[str, str]:
     psr = moments()
     inner = f"SELECT symbol, {arg} AS x FROM {psr.at} GROUP BY symbol"
     simpson = "0.5 + x / 2000 / 3 / sqrt(2 * pi()) * (SELECT sum((CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-pow(x * i / 2000, 2) / 2)) FROM range(2001) g(i))"
-    out["probabilistic_sharpe_ratio"] = f"WITH RECURSIVE {', '.join(psr.parts)}, y AS ({inner}) SELECT symbol, round({simpson}, {DIGITS}) AS value FROM y"
+    out["probabilistic_sharpe_ratio"] = f"WITH RECURSIVE {', '.join(psr.parts)}, y AS ({inner}) SELECT symbol, round({simpson} + {NUDGE}, {DIGITS}) AS value FROM y"
     dd = lambda: q().let(dd=f"e / max(e) {RUN} - 1")
     last, mdd, pain, ulcer = "arg_max(e, t) FILTER (e IS NOT NULL)", "abs(min(dd))", "avg(abs(dd))", "sqrt(avg(dd * dd))"
     cagr = f"(pow({last}, 252.0 / count(e)) - 1)"
@@ -323,8 +323,8 @@ b AS (SELECT *, lag(sig) OVER (PARTITION BY symbol ORDER BY bar) AS wt FROM a),
 n AS (SELECT *, wt * asset - abs(wt - lag(wt, 1, 0.0::DOUBLE) OVER (PARTITION BY symbol ORDER BY bar)) * 0.001 AS net FROM b),
 e AS (SELECT *, CASE WHEN net IS NOT NULL THEN product(1 + net) OVER (PARTITION BY symbol ORDER BY bar ROWS UNBOUNDED PRECEDING) END AS eq FROM n),
 d AS (SELECT *, eq / max(eq) OVER (PARTITION BY symbol ORDER BY bar ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM e)
-SELECT symbol, count(*) AS bars, round(avg(net) * 252 / (stddev_samp(net) * sqrt(252.0)), {DIGITS}) AS sharpe_ratio,
-  round(arg_max(eq, bar) FILTER (eq IS NOT NULL) - 1, {DIGITS}) AS total_return, round(min(dd), {DIGITS}) AS max_drawdown FROM d GROUP BY symbol"""
+SELECT symbol, count(*) AS bars, round(avg(net) * 252 / (stddev_samp(net) * sqrt(252.0)) + {NUDGE}, {DIGITS}) AS sharpe_ratio,
+  round(arg_max(eq, bar) FILTER (eq IS NOT NULL) - 1 + {NUDGE}, {DIGITS}) AS total_return, round(min(dd) + {NUDGE}, {DIGITS}) AS max_drawdown FROM d GROUP BY symbol"""
 
 
 def oracle_sql() -> dict[str, str]:

@@ -149,9 +149,16 @@ class Panel(Over):
             if name not in [n for n, _ in wanted]:
                 wanted.append((name, column))
             todo += [n for n in _STAGE.findall(str(column)) if n != name]
-        order = {n: i for i, (n, _) in enumerate(self._stages.values())}
-        for name, column in sorted(wanted, key=lambda x: order[x[0]]):
-            df = df.withColumn(name, column)
+        # Stages that don't feed each other are one projection: windows of a frame share a node.
+        columns_of, level = dict(wanted), {}
+
+        def depth(name: str) -> int:
+            if name not in level:
+                level[name] = 1 + max((depth(n) for n in _STAGE.findall(str(columns_of[name]))), default=-1)
+            return level[name]
+
+        for at in range(max(map(depth, columns_of), default=-1) + 1):
+            df = df.withColumns({n: c for n, c in columns_of.items() if level[n] == at})
         aggregates = [c.alias(n) for n, c in metrics.items()]
         return df.groupBy(*self.keys).agg(*aggregates) if self.keys else df.agg(*aggregates)
 
