@@ -111,6 +111,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     labels of a document the largest holds.  Other columns are not looked at."""
     picked = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("y"))
     picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select(F.col("doc_id").alias("id"), "y")
+    docs = docs.select("doc_id", "text")
     rows = docs.join(F.broadcast(picked), docs["doc_id"] == picked["id"]).groupBy("id").agg(F.min("text"), F.max("y")).collect()
     return fit([(r[1], r[2]) for r in sorted(rows)])
 
