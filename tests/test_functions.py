@@ -251,3 +251,25 @@ def test_signatures_are_uniform():
     for module in MODULES:
         for name in module.__all__:
             assert inspect.signature(getattr(module, name)).parameters["over"].kind is inspect.Parameter.KEYWORD_ONLY
+
+
+def test_cycle_studies_of_a_wave(spark):
+    """What the measurement gives for the last of 200 bars of a wave of 20."""
+    close = [100.0 + math.sin(2 * math.pi * i / 20) for i in range(200)]
+    panel = Panel(frame(spark, close=close), ["k"], ["t"])
+    c = F.col("close")
+    out = panel.with_studies(
+        period=indicators.dominant_cycle_period(c, over=panel), phase=indicators.dominant_cycle_phase(c, over=panel), wave=indicators.sine_wave(c, over=panel),
+        trend=indicators.hilbert_trendline(c, over=panel), mama=indicators.mama(c, over=panel), phasor=indicators.hilbert_phasor(c, over=panel),
+        mode=indicators.trend_mode(c, over=panel),
+    )
+    rows = out.orderBy("t").collect()
+    last = rows[-1]
+    got = [last["period"], last["phase"], *last["wave"], last["trend"], *last["mama"], *last["phasor"]]
+    assert [round(v, 2) for v in got] == [20.03, -17.84, -0.31, 0.46, 100.0, 99.67, 99.96, -0.8, 0.61]
+    assert {r["mode"] for r in rows} == {None, 0.0}
+    first = {n: next(r["t"] for r in rows if (r[n][0] if isinstance(r[n], tuple) else r[n]) is not None) for n in ("period", "phase", "wave", "trend", "mama", "phasor", "mode")}
+    assert first == {"period": 32, "phase": 63, "wave": 63, "trend": 63, "mama": 32, "phasor": 32, "mode": 63}
+    gap = Panel(frame(spark, close=[*close[:100], None, *close[101:]]), ["k"], ["t"])
+    cut = [r["v"] for r in gap.with_studies(v=indicators.dominant_cycle_period(c, over=gap)).orderBy("t").collect()]
+    assert cut[:100] == [r["period"] for r in rows[:100]] and cut[100:] == [None] * 100
