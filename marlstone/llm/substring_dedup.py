@@ -11,7 +11,7 @@ the smallest doc_id are repeats.
 
 Each task first merges the suffixes that it holds itself, so a window sends on those of its smallest
 doc_id only, and the rest are marked where they are: a passage in a third of all documents costs a
-task one row.
+task one row.  Texts meet their places by bucket of doc_id, in compressed blobs.
 Suffixes travel as sorted columns of bytes (key, document, place), a block at a time.
 """
 
@@ -31,6 +31,8 @@ PREFIX = 2
 CELLS = 14
 #: Suffixes that a task holds at once before it sends them on.
 BLOCK = 2_000_000
+#: Bytes of texts that a task deals out at once.
+TEXTS = 48_000_000
 _M1, _M2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
 
@@ -117,50 +119,65 @@ def _plan(counts: list[tuple[int, int]], groups: int) -> tuple[np.ndarray, np.nd
     return first, span
 
 
-def _pack(columns: list[np.ndarray]) -> bytes:
-    """Sorted key column as differences, all columns as byte planes, compressed."""
+def _pack(keys: np.ndarray, *others: np.ndarray) -> bytes:
+    """A sorted key column as differences, all columns as byte planes, compressed."""
     import zstandard
 
-    keys = columns[0]
-    planes = [np.diff(keys, prepend=np.uint64(0)), *columns[1:]]
+    planes = [np.diff(keys, prepend=np.uint64(0)), *others]
     raw = b"".join(np.ascontiguousarray(p.view(np.uint8).reshape(len(p), -1).T).tobytes() for p in planes)
     return zstandard.ZstdCompressor(level=1).compress(raw)
 
 
-def _unpack(blob: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _unpack(blob: bytes, n: int, *types: type) -> list[np.ndarray]:
     import zstandard
 
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
     out, at = [], 0
-    for dtype in (np.uint64, np.uint32, np.uint32):
+    for dtype in (np.uint64, *types):
         w = np.dtype(dtype).itemsize
         out.append(np.ascontiguousarray(raw[at : at + n * w].reshape(w, n).T).view(dtype).ravel())
         at += n * w
-    return np.cumsum(out[0], dtype=np.uint64), out[1], out[2]
+    return [np.cumsum(out[0], dtype=np.uint64), *out[1:]]
 
 
-def _steps(places: np.ndarray) -> bytes:
-    """Places, sorted, as differences: these compress well."""
-    return np.diff(np.sort(places), prepend=np.uint32(0)).astype("<u4").tobytes()
+def _pack_places(doc: np.ndarray, place: np.ndarray) -> bytes:
+    """(document, word) pairs, sorted, each once; places as steps."""
+    by = np.lexsort((place, doc.view(np.uint64)))
+    doc, place = doc.view(np.uint64)[by], place[by].astype(np.uint32)
+    return _pack(doc, np.diff(place, prepend=np.uint32(0)).astype(np.uint32))
+
+
+def _unpack_places(blob: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    doc, step = _unpack(blob, n, np.uint32)
+    return doc.view(np.int64), np.cumsum(step, dtype=np.uint32)
+
+
+def _bucket(doc: np.ndarray, buckets: int) -> np.ndarray:
+    x = doc.astype(np.int64).view(np.uint64) * np.uint64(_M1)
+    return ((x >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, places): for documents with such windows, the words (0-based, in one or more rows, as
-    steps from one to the next in little-endian unsigned 32-bit numbers) where a window of ``window`` words starts whose
-    words also start in a document with a smaller doc_id.
+    """(bucket, n, blob): packed pairs (doc_id, word) of all places where a window of ``window`` words
+    starts whose words also start in a document with a smaller doc_id; a document's pairs are in the
+    bucket of its doc_id, in one or more rows.  :func:`_unpack_places` reads them.
 
     Rows of one doc_id are taken as one text's repeats: none is smaller than the other.  Rows with a
     null doc_id neither have nor cause repeats.
     """
     spark = docs.sparkSession
-    groups = 4 * parallelism(spark)
+    buckets = parallelism(spark)
+    groups = 4 * buckets
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     counts = [(r[0], r[1]) for r in _prefix_counts(docs, window).collect()]  # 2**CELLS rows at most
     first, span = _plan(counts, groups)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, hashes, runs = _tools()
-        names = ["grp", "doc_id", "n", "docs", "blob"]
+
+        def row(*values) -> pa.RecordBatch:
+            types = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], names=["grp", "n", "docs", "blob"])
 
         def send(ids: list, parts: list) -> Iterator[pa.RecordBatch]:
             """A block of documents, ascending in ``ids``: keys, prefixes, document numbers, places."""
@@ -181,15 +198,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             later = doc != least
             # What repeats an earlier document of this block is marked here.
             if later.any():
-                d, p = doc[later], place[later]
-                by = np.argsort(d, kind="stable")
-                d, p = d[by], p[by]
-                cut = np.concatenate([[0], np.nonzero(np.diff(d))[0] + 1, [len(d)]])
-                rows = [(int(unique[d[a]]), _steps(p[a:b])) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([-1] * len(rows), pa.int32()), pa.array([r[0] for r in rows], pa.int64()), pa.array([len(r[1]) // 4 for r in rows], pa.int32()), pa.array([None] * len(rows), pa.binary()), pa.array([r[1] for r in rows], pa.binary())],
-                    names=names,
-                )
+                d, p = unique[doc[later]], place[later]
+                yield row(-1, len(d), None, _pack_places(d, p))
                 keep = ~later
                 key, cell, doc, place = key[keep], cell[keep], doc[keep], place[keep]
             group = first[cell] + (mix32(key) % span[cell].astype(np.uint32)).astype(np.int32)
@@ -200,10 +210,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 if a == b:
                     continue
                 used, local = np.unique(doc[a:b], return_inverse=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([int(group[a])], pa.int32()), pa.array([None], pa.int64()), pa.array([int(b - a)], pa.int32()), pa.array([unique[used].tobytes()], pa.binary()), pa.array([_pack([key[a:b], local.astype(np.uint32), place[a:b]])], pa.binary())],
-                    names=names,
-                )
+                yield row(int(group[a]), int(b - a), unique[used].tobytes(), _pack(key[a:b], local.astype(np.uint32), place[a:b]))
 
         def mix32(x: np.ndarray) -> np.ndarray:
             return ((x * np.uint64(_M2)) >> np.uint64(32)).astype(np.uint32)
@@ -225,12 +232,11 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             yield from send(ids, parts)
 
     def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flagged(blobs: list) -> Iterator[pa.RecordBatch]:
-            if len(blobs) < 2:  # a block has settled its own
-                return
+        def repeats(blobs: list) -> tuple[np.ndarray, np.ndarray]:
+            """The leaves, but the smallest document's, of a group's nodes with several documents."""
             keys, docs_, places = [], [], []
             for n, table, blob in blobs:
-                k, d, p = _unpack(blob, n)
+                k, d, p = _unpack(blob, n, np.uint32, np.uint32)
                 keys.append(k)
                 docs_.append(np.frombuffer(table, np.int64)[d])
                 places.append(p)
@@ -240,38 +246,49 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             key = key[by]
             start = np.nonzero(np.concatenate([[True], key[1:] != key[:-1]]))[0]
             size = np.diff(np.append(start, len(key)))
-            many = np.repeat(size > 1, size)  # the nodes with several leaves
+            many = np.repeat(size > 1, size)
             key, doc, place = key[many], doc[by][many], place[by][many]
-            if not len(key):
-                return
-            start = np.nonzero(np.concatenate([[True], key[1:] != key[:-1]]))[0]
-            least = np.repeat(np.minimum.reduceat(doc, start), np.diff(np.append(start, len(key))))
+            start = np.nonzero(np.concatenate([[True], key[1:] != key[:-1]]))[0] if len(key) else np.zeros(0, np.int64)
+            least = np.repeat(np.minimum.reduceat(doc, start), np.diff(np.append(start, len(key)))) if len(key) else doc
             later = doc > least
-            doc, place = doc[later], place[later]
-            by = np.argsort(doc, kind="stable")
-            doc, place = doc[by], place[by]
-            if not len(doc):
-                return
-            cut = np.concatenate([[0], np.nonzero(np.diff(doc))[0] + 1, [len(doc)]])
-            raw = [_steps(place[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(doc[cut[:-1]]), pa.array(raw, pa.binary())], names=["doc_id", "places"])
-
-        group, blobs = None, []
+            return doc[later], place[later]
+
+        def deal(found: list) -> Iterator[pa.RecordBatch]:
+            doc, place = (np.concatenate(x) for x in zip(*found, strict=True))
+            to = _bucket(doc, buckets)
+            by = np.argsort(to, kind="stable")
+            doc, place, to = doc[by], place[by], to[by]
+            cut = np.concatenate([[0], np.nonzero(np.diff(to))[0] + 1, [len(to)]])
+            rows = [(int(to[a]), int(b - a), _pack_places(doc[a:b], place[a:b])) for a, b in zip(cut[:-1], cut[1:], strict=True) if a < b]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["bucket", "n", "blob"])
+
+        group, blobs, found, held = None, [], [], 0
         for batch in batches:
-            for g, doc_id, n, table, blob in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if doc_id is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array([doc_id], pa.int64()), pa.array([blob], pa.binary())], names=["doc_id", "places"])
-                    continue
+            for g, n, table, blob in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if g != group and len(blobs) > 1:  # a lone block has settled its own
+                    found.append(repeats(blobs))
+                    held += len(found[-1][0])
                 if g != group:
-                    yield from flagged(blobs)
                     group, blobs = g, []
-                blobs.append((n, table, blob))
-        yield from flagged(blobs)
-
-    sent = docs.mapInArrow(split, "grp int, doc_id bigint, n int, docs binary, blob binary")
-    key = F.when(F.col("doc_id").isNull(), F.col("grp")).otherwise(F.xxhash64("doc_id"))
-    dealt = sent.withColumn("deal", key).repartition(parallelism(spark), "deal").sortWithinPartitions("grp").drop("deal")
-    return dealt.mapInArrow(trees, "doc_id bigint, places binary")
+                if table is None:
+                    found.append(_unpack_places(blob, n))
+                    held += n
+                else:
+                    blobs.append((n, table, blob))
+                if held > BLOCK:
+                    yield from deal(found)
+                    found, held = [], 0
+        if len(blobs) > 1:
+            found.append(repeats(blobs))
+        if found:
+            yield from deal(found)
+
+    sent = docs.mapInArrow(split, "grp int, n bigint, docs binary, blob binary")
+    # What blocks settled themselves goes anywhere.
+    key = F.when(F.col("grp") >= 0, F.col("grp")).otherwise(F.crc32("blob"))
+    dealt = sent.withColumn("deal", key).repartition(buckets, "deal").sortWithinPartitions("grp").drop("deal")
+    return dealt.mapInArrow(trees, "bucket int, n bigint, blob binary")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -282,34 +299,77 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     null text has no words; rows with a null doc_id keep all; equal rows get equal results.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    places = repeated_windows(docs, window).groupBy(F.col("doc_id").alias("place_id")).agg(F.collect_list("places").alias("places"))
-    marks = write_table(places, "substring-places")
-    rows = docs.join(marks, docs["doc_id"] == marks["place_id"], "left").select("doc_id", "text", "places")
+    buckets = parallelism(docs.sparkSession)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows by bucket of their doc_id, many to a compressed blob."""
+        import zstandard
+
+        def send(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            to = _bucket(np.asarray(batch.column(0).fill_null(0)), buckets)
+            for b in np.unique(to):
+                part = batch.take(pa.array(np.nonzero(to == b)[0]))
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, part.schema) as out:
+                    out.write_batch(part)
+                blob = zstandard.ZstdCompressor(level=3).compress(sink.getvalue())
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([-1], pa.int64()), pa.array([blob], pa.binary())], names=["bucket", "n", "blob"])
+
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if size > TEXTS:
+                yield from send(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+                held, size = [], 0
+        if size or any(b.num_rows for b in held):
+            yield from send(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Within a bucket places come first (n > 0), then texts (n = -1)."""
         import re
 
+        import zstandard
+
         find = re.compile(r"[^\x20\x09-\x0D]+").findall
-        for batch in batches:
-            ids, totals, gone, kept = [], [], [], []
-            for doc_id, text, places in zip(*(batch.column(i) for i in range(3)), strict=True):
-                words = find(text.as_py() or "")
-                n = len(words)
-                cover = np.zeros(n + 1, np.int32)
-                raw = places.as_py()
-                if raw:
-                    at = np.unique(np.concatenate([np.cumsum(np.frombuffer(x, "<u4")) for x in raw])).astype(np.int64)
-                    at = at[at <= n - window]
+        bucket, docs_, places = None, [], []
+
+        def cut(doc_id, text, doc, place) -> tuple:
+            words = find(text or "")
+            n = len(words)
+            if doc_id is not None and n >= window:
+                at = np.unique(place[np.searchsorted(doc, doc_id, "left") : np.searchsorted(doc, doc_id, "right")]).astype(np.int64)
+                at = at[at <= n - window]
+                if len(at):
+                    cover = np.zeros(n + 1, np.int32)
                     cover[at] += 1
-                    np.subtract.at(cover, at + window, 1)
-                out = np.cumsum(cover[:n]) > 0
-                removed = int(out.sum())
-                ids.append(doc_id.as_py())
-                totals.append(n)
-                gone.append(removed)
-                kept.append(" ".join(words if not removed else [words[i] for i in np.nonzero(~out)[0]]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(totals, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"]
-            )
+                    cover[at + window] -= 1
+                    out = np.cumsum(cover[:n]) > 0
+                    return doc_id, n, int(out.sum()), " ".join([words[i] for i in np.nonzero(~out)[0]])
+            return doc_id, n, 0, " ".join(words)
 
+        for batch in batches:
+            for b, n, blob in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if b != bucket:
+                    bucket, docs_, places, ready = b, [], [], False
+                if n >= 0:
+                    d, p = _unpack_places(blob, n)
+                    docs_.append(d)
+                    places.append(p)
+                    continue
+                if not ready:
+                    doc = np.concatenate([*docs_, np.zeros(0, np.int64)])
+                    place = np.concatenate([*places, np.zeros(0, np.uint32)])
+                    by = np.argsort(doc, kind="stable")
+                    doc, place, docs_, places, ready = doc[by], place[by], [], [], True
+                for part in pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(blob)):
+                    for at in range(0, part.num_rows, 1000):
+                        piece = part.slice(at, 1000)
+                        rows = [cut(i, t.as_py(), doc, place) for i, t in zip(piece.column(0).to_pylist(), piece.column(1), strict=True)]
+                        types = (pa.int64(), pa.int64(), pa.int64(), pa.string())
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["doc_id", "n_words", "n_removed", "kept"])
+
+    marks = write_table(repeated_windows(docs, window), "substring-places")
+    texts = docs.mapInArrow(deal, "bucket int, n bigint, blob binary")
+    rows = marks.unionByName(texts).repartition(buckets, "bucket").sortWithinPartitions("bucket", F.col("n").desc())
     return rows.mapInArrow(apply, "doc_id bigint, n_words bigint, n_removed bigint, kept string")
