@@ -42,6 +42,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import re
+        from array import array
 
         from pyspark import TaskContext
         from tokenizers import Tokenizer
@@ -56,7 +57,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
                 self.make = make
 
             def __missing__(self, word: str) -> bytes:
-                if len(self) > 300_000:
+                if len(self) > 600_000:
                     self.clear()
                 out = self[word] = self.make(word)
                 return out
@@ -73,7 +74,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
         tokenize = tokenizer.model.tokenize
 
         def letters(word: str) -> bytes:
-            return np.array([t.id for t in tokenize(word.encode().decode("latin-1").translate(shown))], "<u4").tobytes()
+            plain = word if word.isascii() else word.encode().decode("latin-1").translate(shown)
+            return array("I", [t.id for t in tokenize(plain)]).tobytes()
 
         words, marks = Memo(letters), Memo(encode)
 
