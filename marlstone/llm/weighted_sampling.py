@@ -99,10 +99,9 @@ def edited_pairs(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """
     docs = _runs(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
     order = Window.partitionBy("run").orderBy("doc_id", "text")
-    heads = docs.groupBy("run").agg(F.min("doc_id").alias("doc_id"))
-    follows = write_table(_following(heads.select("run")), "sampling-runs")
-    at = heads.select(F.col("run").alias("r"), F.col("doc_id").alias("i"))
-    texts = docs.join(at, (docs["run"] == at["r"]) & docs["doc_id"].eqNullSafe(at["i"])).groupBy("run").agg(F.min("text").alias("head"))
+    follows = write_table(_following(docs.select("run").distinct()), "sampling-runs")
+    # A run's first text, from the same shuffle as the rows themselves.
+    texts = docs.withColumn("rank", F.row_number().over(order)).where("rank = 1").select("run", F.col("text").alias("head"))
     after = follows.join(texts.withColumnRenamed("run", "next_run"), "next_run").select(F.col("run").alias("r"), "head")
 
     rows = docs.select("run", "doc_id", "text", F.row_number().over(order).alias("rank"), F.lead("text").over(order).alias("next"))
