@@ -73,6 +73,40 @@ def test_simhash_against_brute_force(spark, odd):
     assert near_groups(docs_of(spark, [])).count() == 0
 
 
+def test_similar_against_brute_force(spark, odd):
+    """Pairs at 0.8 and above are linked however far their fingerprints lie apart, none below."""
+    from marlstone.llm.similar import deduplicate_similar
+
+    rng = random.Random(8)
+    rows = list(odd)
+    for g in range(40):
+        base = words(rng, 120, 3000).split()
+        rows.append((1000 + 10 * g, " ".join(base)))
+        for k in range(1, 5):
+            edit = list(base)
+            for _ in range(rng.randrange(1, 5)):
+                edit[rng.randrange(len(edit))] = f"new{rng.randrange(10**6)}"
+            rows.append((1000 + 10 * g + k, " ".join(edit)))
+    rows += [(3000 + i, "a passage that very many documents hold at once " + words(rng, 30)) for i in range(60)]
+
+    def shingles(text):
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+        return frozenset(" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+    sets = [(i, shingles(t)) for i, t in rows]
+    group = list(range(len(rows)))
+    for a, (_, x) in enumerate(sets):
+        for b, (_, y) in enumerate(sets[:a]):
+            if group[a] != group[b] and (x == y or 5 * len(x & y) >= 4 * len(x | y)):
+                group = [group[b] if g == group[a] else g for g in group]
+    best = {}
+    for (i, _), g in zip(sets, group, strict=True):
+        best[g] = min((i is None, i), best.get(g, (True, None)), key=lambda v: (v[0], v[1] or 0))
+    got = deduplicate_similar(docs_of(spark, rows, CLASHING))
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in got.collect()) == sorted((n, i or 0) for n, i in best.values()) and len(got.columns) == 8
+    assert deduplicate_similar(docs_of(spark, [])).count() == 0
+
+
 def test_simhash_large_cells_are_exact(spark):
     """The way for crowded cells finds the same components as comparing all."""
     from marlstone.llm.components import connected_components
