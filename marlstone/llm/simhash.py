@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import DOCUMENT_COLUMNS, drop_table, parallelism, write_table
 from .components import connected_components
+from .similar import one_of_each, text_key
 
 RADIUS = 4
 SLABS = 8
@@ -272,14 +273,14 @@ def near_groups(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -
 
 def deduplicate(docs: DataFrame, radius: int = RADIUS, shingle: int = 5) -> DataFrame:
     """The rows of ``docs`` less every near copy: of each group the row with the smallest doc_id
-    stays, and one of its repeats.  All columns stay, whatever their names."""
-    groups = near_groups(docs, radius, shingle).where("doc_id <=> component_id")
-    keep = write_table(groups.groupBy(F.col("doc_id").alias("__keep")).agg(F.count("*").alias("__rows")), "simhash-keep")
-    kept = docs.join(keep, docs["doc_id"].cast("bigint").eqNullSafe(keep["__keep"]))
-    if not keep.where("__rows > 1").limit(1).count():
-        return kept.drop("__keep", "__rows")
-    repeated = kept.where("__rows > 1").drop("__keep", "__rows").dropDuplicates(["doc_id"])
-    return kept.where("__rows = 1").drop("__keep", "__rows").unionByName(repeated)
+    stays, and one of its repeats.  All columns stay, whatever their names.  Rows are told apart by
+    doc_id and text, so that neither null nor shared doc_ids make one document of several."""
+    keyed = docs.withColumn("__key", text_key(docs["text"]))
+    texts = keyed.select(F.col("__key").alias("doc_id"), "text")
+    table = write_table(fingerprints(texts, shingle).distinct(), "simhash-fingerprints")
+    roots = connected_components(fingerprint_links(table.select("fp").distinct(), radius)).withColumnRenamed("root", "least")
+    labels = table.join(roots, table["fp"] == roots["node"], "left").select(F.col("doc_id").alias("node"), F.coalesce("least", "fp").alias("root"))
+    return one_of_each(keyed, labels)
 
 
 __all__ = ["DOCUMENT_COLUMNS", "deduplicate", "drop_table", "fingerprint_links", "fingerprints", "near_groups"]

@@ -107,6 +107,18 @@ def test_similar_against_brute_force(spark, odd):
     assert deduplicate_similar(docs_of(spark, [])).count() == 0
 
 
+def test_near_dedup_tells_null_and_shared_ids_apart(spark):
+    from marlstone.llm.similar import deduplicate_similar
+    from marlstone.llm.simhash import deduplicate
+
+    rng = random.Random(9)
+    one, two, three, four = (words(rng, 80, 5000) for _ in range(4))
+    rows = [(None, one), (None, two), (None, two), (None, None), (None, " "), (1, three), (5, three), (5, four)]
+    for near in (deduplicate, deduplicate_similar):
+        got = [(r["doc_id"], (r["text"] or "").strip()) for r in near(docs_of(spark, rows, CLASHING)).collect()]
+        assert sorted(got, key=str) == sorted([(None, one), (None, two), (None, ""), (1, three), (5, four)], key=str)
+
+
 def test_simhash_large_cells_are_exact(spark):
     """The way for crowded cells finds the same components as comparing all."""
     from marlstone.llm.components import connected_components
