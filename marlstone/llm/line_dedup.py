@@ -1,9 +1,11 @@
 """Line dedup by pairwise alignment: rare shared lines, patience diff, common blocks deleted.
 
 Every document is paired with the first holder (smallest doc_id) of each line that it shares, where
-the two share a rare line (held by at most ``RARE`` documents) or at least ``TOGETHER`` lines of any
-frequency.  The second rule keeps large groups of copies whole, none of whose lines are rare; a
-single common line alone pairs nothing.  Each pair's line hashes are aligned with patience diff and
+the two share a rare line (held by at most ``RARE`` documents or one in ``SHARE``, so that a larger
+table of the same kind calls the same lines rare) or at least ``TOGETHER`` lines of any frequency.  At
+any frequency too it is paired with the first holder of each very long line, of each run of three
+lines and of the whole of its lines.  So large groups of copies are found, none of whose lines are
+rare; a single common line of ordinary length alone pairs nothing.  Each pair's line hashes are aligned with patience diff and
 the common blocks leave the later document.
 
 Scale: a line gives a document one partner, whoever else holds it, so pairs grow with lines, not
@@ -19,10 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import write_table
+from .common import words_of, write_table
 
 RARE = 100
+SHARE = 100
 TOGETHER = 3
+#: A line of so many characters or words pairs documents at any frequency.
+MANY_CHARS, MANY_WORDS = 200, 50
 #: A line of fewer characters pairs no documents and makes no block by itself.
 LEAST_CHARS = 20
 
@@ -94,13 +99,14 @@ def _longest_rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def line_hashes(docs: DataFrame) -> DataFrame:
     """(doc_id, hs): hashes of the lines, blanks at their ends aside; the lowest bit of a hash tells
-    whether the line is long enough to pair documents."""
+    whether the line is long enough to pair documents, the next whether at any frequency."""
     lines = F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n")
 
     def one(line):
         line = F.trim(line)
         long = (F.length(line) >= LEAST_CHARS).cast("bigint")
-        return F.xxhash64(line).bitwiseAND(F.lit(-2)).bitwiseOR(long)
+        many = ((F.length(line) >= MANY_CHARS) | (F.size(words_of(line)) >= MANY_WORDS)).cast("bigint") * 2
+        return F.xxhash64(line).bitwiseAND(F.lit(-4)).bitwiseOR(long).bitwiseOR(many)
 
     return docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.transform(lines, one).alias("hs"))
 
@@ -108,12 +114,20 @@ def line_hashes(docs: DataFrame) -> DataFrame:
 def removals(docs: DataFrame, rare: int = RARE, together: int = TOGETHER) -> DataFrame:
     """(doc_id, drop, partners): for documents that lose lines, these lines' numbers from 0, sorted."""
     hashed = write_table(line_hashes(docs).dropDuplicates(["doc_id"]), "lines-hashes")
-    long = F.array_distinct(F.filter("hs", lambda h: h.bitwiseAND(F.lit(1)) == 1))
-    holds = hashed.select("doc_id", F.explode(long).alias("h"))
+    limit = max(rare, hashed.count() // SHARE)
+    # Kinds: 1 long line, 2 very long line, 3 run of lines or whole document.
+    lines = F.transform(F.array_distinct(F.expr("filter(hs, h -> h & 1 = 1)")), lambda h: F.struct(h.alias("h"), F.when(h.bitwiseAND(F.lit(2)) > 0, 2).otherwise(1).alias("kind")))
+    runs = F.expr(
+        "transform(filter(sequence(0, size(hs) - 3), i -> (hs[i] | hs[i + 1] | hs[i + 2]) & 1 = 1), i -> struct(xxhash64(hs[i], hs[i + 1], hs[i + 2], 3) as h, 3 as kind))"
+    )
+    runs = F.when(F.size("hs") >= 3, F.array_distinct(runs)).otherwise(F.expr("array_repeat(struct(0L as h, 3 as kind), 0)"))
+    whole = F.expr("transform(array_repeat(hs, int(exists(hs, h -> h & 1 = 1))), x -> struct(xxhash64(x, 0) as h, 3 as kind))")
+    holds = hashed.select("doc_id", F.explode(F.concat(lines, runs, whole)).alias("unit")).select("doc_id", "unit.h", "unit.kind")
     stats = holds.groupBy("h").agg(F.min("doc_id").alias("first"), F.count("*").alias("df")).where("df > 1").withColumnRenamed("h", "line")
     shared = holds.join(stats, holds["h"] == stats["line"]).where("doc_id > first")
-    pairs = shared.groupBy("doc_id", "first").agg(F.count("*").alias("n"), F.count(F.when(F.col("df") <= rare, 1)).alias("n_rare"))
-    pairs = write_table(pairs.where(f"n_rare > 0 or n >= {together}").select("doc_id", "first"), "lines-pairs")
+    counts = {"n": F.col("kind") < 3, "n_rare": (F.col("kind") < 3) & (F.col("df") <= limit), "n_sure": F.col("kind") > 1}
+    pairs = shared.groupBy("doc_id", "first").agg(*(F.count(F.when(c, 1)).alias(k) for k, c in counts.items()))
+    pairs = write_table(pairs.where(f"n_rare > 0 or n_sure > 0 or n >= {together}").select("doc_id", "first"), "lines-pairs")
     later = hashed.select(F.col("doc_id").alias("d"), F.col("hs").alias("later"))
     earlier = hashed.select(F.col("doc_id").alias("f"), F.col("hs").alias("earlier"))
     both = pairs.join(later, pairs["doc_id"] == later["d"]).join(earlier, pairs["first"] == earlier["f"]).select("doc_id", "earlier", "later")

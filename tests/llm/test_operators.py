@@ -437,6 +437,25 @@ def test_line_dedup(spark):
     assert report(docs_of(spark, [])).count() == 0 and removals(docs_of(spark, [])).count() == 0
 
 
+def test_line_dedup_at_any_frequency(spark):
+    """Copies and long lines go however many documents hold them; one common short line stays."""
+    from marlstone.llm.line_dedup import report
+
+    line = lambda k: f"this is a line of its own number {k}"
+    passage = " ".join(f"word{k}" for k in range(60))
+    rows = [(1000 + i, line(1)) for i in range(150)] + [(2000 + i, line(2) + "\n" + line(3)) for i in range(150)]
+    rows += [(3000 + i, passage + "\n" + line(5000 + i)) for i in range(150)]
+    rows += [(4000 + i, "a licence line that very many documents hold\n" + line(6000 + i)) for i in range(150)]
+    # The three lines of these copies have three first holders.
+    rows += [(10 + k, line(20 + k) + "\n" + line(30 + k)) for k in range(3)]
+    rows += [(5000 + i, "\n".join([line(20), line(21), line(22), line(7000 + i)])) for i in range(150)]
+    got = {r["doc_id"]: r for r in report(docs_of(spark, rows)).collect()}
+    assert got[1000]["n_removed"] == got[2000]["n_removed"] == got[3000]["n_removed"] == 0
+    assert all(got[1000 + i]["n_removed"] == 1 and got[2000 + i]["n_removed"] == 2 for i in range(1, 150))
+    assert all(got[3000 + i]["kept"] == line(5000 + i) and got[5000 + i]["kept"] == line(7000 + i) for i in range(1, 150))
+    assert all(got[4000 + i]["n_removed"] == 0 for i in range(150))
+
+
 def test_language_id(spark):
     from marlstone.llm.language_id import document_rows, identify, keep_identified, page_rows, train
 
