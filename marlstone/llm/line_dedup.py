@@ -28,8 +28,9 @@ SHARE = 100
 TOGETHER = 3
 #: A line of so many characters or words pairs documents at any frequency.
 MANY_CHARS, MANY_WORDS = 200, 50
-#: A line of fewer characters pairs no documents and makes no block by itself.
+#: A line of fewer characters pairs no documents by itself; a block of fewer is cut only where all lines are equal.
 LEAST_CHARS = 20
+MANY = 21
 
 
 def patience_blocks(a: list, b: list) -> list[tuple[int, int, int]]:
@@ -98,15 +99,15 @@ def _longest_rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def line_hashes(docs: DataFrame) -> DataFrame:
-    """(doc_id, hs): hashes of the lines, blanks at their ends aside; the lowest bit of a hash tells
-    whether the line is long enough to pair documents, the next whether at any frequency."""
+    """(doc_id, hs): hashes of the lines, blanks at their ends aside; the lowest 5 bits of a hash are
+    the line's length up to ``LEAST_CHARS``, which is enough to pair documents, or ``MANY``: at any frequency."""
     lines = F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n")
 
     def one(line):
         line = F.trim(line)
-        long = (F.length(line) >= LEAST_CHARS).cast("bigint")
-        many = ((F.length(line) >= MANY_CHARS) | (F.size(words_of(line)) >= MANY_WORDS)).cast("bigint") * 2
-        return F.xxhash64(line).bitwiseAND(F.lit(-4)).bitwiseOR(long).bitwiseOR(many)
+        many = (F.length(line) >= MANY_CHARS) | (F.size(words_of(line)) >= MANY_WORDS)
+        size = F.when(many, MANY).otherwise(F.least(F.length(line), F.lit(LEAST_CHARS))).cast("bigint")
+        return F.xxhash64(line).bitwiseAND(F.lit(-32)).bitwiseOR(size)
 
     return docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.transform(lines, one).alias("hs"))
 
@@ -115,17 +116,20 @@ def removals(docs: DataFrame, rare: int = RARE, together: int = TOGETHER) -> Dat
     """(doc_id, drop, partners): for documents that lose lines, these lines' numbers from 0, sorted."""
     hashed = write_table(line_hashes(docs).dropDuplicates(["doc_id"]), "lines-hashes")
     limit = max(rare, hashed.count() // SHARE)
-    # Kinds: 1 long line, 2 very long line, 3 run of lines or whole document.
-    lines = F.transform(F.array_distinct(F.expr("filter(hs, h -> h & 1 = 1)")), lambda h: F.struct(h.alias("h"), F.when(h.bitwiseAND(F.lit(2)) > 0, 2).otherwise(1).alias("kind")))
+    # Kinds: 0 short line, which counts towards ``together`` alone, 1 long line, 2 very long line, 3 run of lines or whole document.
+    size = lambda h: h.bitwiseAND(F.lit(31))
+    kind = lambda h: F.when(size(h) == MANY, 2).when(size(h) == LEAST_CHARS, 1).otherwise(0)
+    lines = F.transform(F.array_distinct(F.filter("hs", lambda h: size(h) > 0)), lambda h: F.struct(h.alias("h"), kind(h).alias("kind")))
     runs = F.expr(
-        "transform(filter(sequence(0, size(hs) - 3), i -> (hs[i] | hs[i + 1] | hs[i + 2]) & 1 = 1), i -> struct(xxhash64(hs[i], hs[i + 1], hs[i + 2], 3) as h, 3 as kind))"
+        f"transform(filter(sequence(0, size(hs) - 3), i -> (hs[i] & 31) + (hs[i + 1] & 31) + (hs[i + 2] & 31) >= {LEAST_CHARS}),"
+        " i -> struct(xxhash64(hs[i], hs[i + 1], hs[i + 2], 3) as h, 3 as kind))"
     )
     runs = F.when(F.size("hs") >= 3, F.array_distinct(runs)).otherwise(F.expr("array_repeat(struct(0L as h, 3 as kind), 0)"))
-    whole = F.expr("transform(array_repeat(hs, int(exists(hs, h -> h & 1 = 1))), x -> struct(xxhash64(x, 0) as h, 3 as kind))")
+    whole = F.expr("transform(array_repeat(hs, int(exists(hs, h -> h & 31 > 0))), x -> struct(xxhash64(x, 0) as h, 3 as kind))")
     holds = hashed.select("doc_id", F.explode(F.concat(lines, runs, whole)).alias("unit")).select("doc_id", "unit.h", "unit.kind")
     stats = holds.groupBy("h").agg(F.min("doc_id").alias("first"), F.count("*").alias("df")).where("df > 1").withColumnRenamed("h", "line")
     shared = holds.join(stats, holds["h"] == stats["line"]).where("doc_id > first")
-    counts = {"n": F.col("kind") < 3, "n_rare": (F.col("kind") < 3) & (F.col("df") <= limit), "n_sure": F.col("kind") > 1}
+    counts = {"n": F.col("kind") < 3, "n_rare": F.col("kind").isin(1, 2) & (F.col("df") <= limit), "n_sure": F.col("kind") > 1}
     pairs = shared.groupBy("doc_id", "first").agg(*(F.count(F.when(c, 1)).alias(k) for k, c in counts.items()))
     pairs = write_table(pairs.where(f"n_rare > 0 or n_sure > 0 or n >= {together}").select("doc_id", "first"), "lines-pairs")
     later = hashed.select(F.col("doc_id").alias("d"), F.col("hs").alias("later"))
@@ -138,7 +142,8 @@ def removals(docs: DataFrame, rare: int = RARE, together: int = TOGETHER) -> Dat
                 part = batch.slice(at, 512)
                 ids, drops = [], []
                 for doc_id, a, b in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
-                    drop = [k for _, j, n in patience_blocks(a, b) if any(x & 1 for x in b[j : j + n]) for k in range(j, j + n)]
+                    blocks = [(j, n) for _, j, n in patience_blocks(a, b) if a == b or sum(x & 31 for x in b[j : j + n]) >= LEAST_CHARS]
+                    drop = [k for j, n in blocks for k in range(j, j + n)]
                     if drop:
                         ids.append(doc_id)
                         drops.append(drop)

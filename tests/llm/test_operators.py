@@ -456,6 +456,18 @@ def test_line_dedup_at_any_frequency(spark):
     assert all(got[4000 + i]["n_removed"] == 0 for i in range(150))
 
 
+def test_line_dedup_of_short_lines(spark):
+    """Copies made of short lines go, as does a shared block of them; one short line alone stays."""
+    from marlstone.llm.line_dedup import report
+
+    verse = [f"verse {k}" for k in range(200)]
+    rows = [(1, "\n".join(verse)), (2, "\n".join(verse)), (3, "ends\n" + "\n".join(verse[50:60]) + "\nother"), (4, "tiny"), (5, "tiny"), (6, "tiny\nmore")]
+    rows += [(10 + i, "你好世界\n再见") for i in range(120)] + [(200, " \n"), (201, " \n"), (202, None)]
+    got = {r["doc_id"]: r for r in report(docs_of(spark, rows)).collect()}
+    assert got[2]["kept"] == "" and got[3]["kept"] == "ends\nother" and got[5]["n_removed"] == 1
+    assert all(got[i]["n_removed"] == 0 for i in (1, 4, 6, 10, 200, 201, 202)) and all(got[10 + i]["n_removed"] == 2 for i in range(1, 120))
+
+
 def test_language_id(spark):
     from marlstone.llm.language_id import document_rows, identify, keep_identified, page_rows, train
 
