@@ -417,55 +417,102 @@ def test_patience_blocks():
             last = i + n, j + n
 
 
-def test_line_dedup(spark):
-    from marlstone.llm.line_dedup import deduplicate_lines, removals, report
+def test_align_covers_all_that_is_shared():
+    """Whatever two documents share is in a block, moved or repeated lines too; blocks are equal lines."""
+    from marlstone.llm.line_dedup import align
 
-    line = lambda k: f"this is a line of its own number {k}"
-    text = lambda *ks: "\n".join(k if isinstance(k, str) else line(k) for k in ks)
-    rows = [(1, text(1, 2, 3, "", "short")), (2, text(9, 2, 3, "", 8)), (3, text(1, 2, 3, "", "short")), (4, None), (5, ""), (None, text(1, 2)), (6, text(50)), (6, text(50)), (7, text(60, "short", 61))]
-    rows += [(100 + i, text("a licence line that very many documents hold", 1000 + i)) for i in range(150)]
-    rows += [(300 + i, text(70, 71, 72, 73, 2000 + i)) for i in range(150)]  # a large group of near copies
-    docs = docs_of(spark, rows, ", hs string, line string, drop string")
-    got = {r["doc_id"]: r for r in report(docs).collect() if r["doc_id"] != 6}
-    assert got[1]["n_removed"] == 0 and got[2]["kept"] == text(9, "", 8).replace("\n\n", "\n") or got[2]["kept"] == text(9, 8)
-    assert got[3]["kept"] == "" and got[3]["n_removed"] == 5 and got[None]["n_removed"] == 0 and got[7]["n_removed"] == 0
-    assert all(got[100 + i]["n_removed"] == 0 for i in range(150))
-    assert got[300]["n_removed"] == 0 and all(got[300 + i]["kept"] == line(2000 + i) for i in range(1, 150))
+    assert align([(0, 5, 1), (1, 6, 1), (2, 0, 1)]) == [(5, 0, 2), (0, 2, 1)]
+    assert align([(0, 3, 1), (2, 3, 1)]) == [(3, 0, 1), (3, 2, 1)]
+    rng = random.Random(1)
+    for _ in range(300):
+        first = [rng.randrange(12) for _ in range(rng.randrange(1, 15))]
+        later = [rng.randrange(14) for _ in range(rng.randrange(1, 15))]
+        shared = [(j, first.index(x), 1) for j, x in enumerate(later) if x in first]
+        blocks = align(shared)
+        covered = [j + k for _, j, n in blocks for k in range(n)]
+        assert sorted(covered) == [j for j, _, _ in shared] and all(first[i + k] == later[j + k] for i, j, n in blocks for k in range(n))
+    assert len(align([(i, 5000 - i, 1) for i in range(5000)])) == 5000  # all reversed: quadratic ways would not end
+
+
+def _lines_brute(rows):
+    """{row number: numbers of the lines that go}: common runs of lines, blank ones aside, of 20 characters or
+    more with any earlier document, or equal documents; by comparing all pairs of documents."""
+    blank = " \t\n\v\f\r"
+    docs = [[(k, x.strip(blank)) for k, x in enumerate((t or "").split("\n")) if x.strip(blank)] for _, t in rows]
+    out = {}
+    for d, (i, t) in enumerate(rows):
+        gone = set()
+        for e, (k, _) in enumerate(rows):
+            if i is None or k is None or not k < i:
+                continue
+            a, b = [x for _, x in docs[e]], [x for _, x in docs[d]]
+            if a == b:
+                gone |= set(range(len(b)))
+                continue
+            for x in range(len(a)):
+                for y in range(len(b)):
+                    if a[x] != b[y] or (x and y and a[x - 1] == b[y - 1]):
+                        continue
+                    n = 0
+                    while x + n < len(a) and y + n < len(b) and a[x + n] == b[y + n]:
+                        n += 1
+                    if sum(map(len, b[y : y + n])) >= 20:
+                        gone |= set(range(y, y + n))
+        lines = (t or "").split("\n")
+        state = {docs[d][at][0]: at in gone for at in range(len(docs[d]))}
+        side = lambda ks, state=state: next((state[k] for k in ks if k in state), True)
+        out[d] = {k for k in range(len(lines)) if gone and (state[k] if k in state else side(range(k, -1, -1)) and side(range(k, len(lines))))}
+    return out
+
+
+def test_line_dedup_against_brute_force(spark):
+    """Moved, repeated, short and blank lines, chains of holders, common lines: what all pairs say."""
+    from marlstone.llm.line_dedup import common_blocks, deduplicate_lines, report
+
+    rng = random.Random(11)
+    pool = [f"this is a line of its own number {k}" for k in range(60)] + [f"s{k}" for k in range(10)] + ["", "  ", "medium line 1", "medium line 2", "a licence line that all hold", "漢字の行"]
+    rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 14)))) for i in range(150)]
+    for _ in range(60):  # copies with lines moved, dropped or doubled
+        lines = rng.choice(rows)[1].split("\n")
+        at, to = rng.randrange(len(lines)), rng.randrange(len(lines) + 1)
+        rows.append((200 + len(rows), "\n".join(rng.choice([lines[:at] + lines[at + 1 :], lines[to:] + lines[:to], lines + lines, lines]))))
+    rows += [(900, None), (901, ""), (902, " \n"), (None, rows[0][1]), (903, "tiny"), (904, "tiny"), (905, "tiny\nmore"), (906, "你好世界\n再见"), (907, "你好世界\n再见"), (907, "你好世界\n再见")]
+    rng.shuffle(rows)
+    rows.append((990, "\n".join(pool * 400)))
+    docs = docs_of(spark, rows, ", id string, key string, c1 string")
+    gone = _lines_brute(rows[:-1]) | {len(rows) - 1: None}
+    want = []
+    for d, (i, t) in enumerate(rows[:-1]):
+        lines = (t or "").split("\n")
+        want.append((i, len(lines), len(gone[d]), "\n".join(x for k, x in enumerate(lines) if k not in gone[d]) if gone[d] else t or ""))
+    got = [(r["doc_id"], r["n_lines"], r["n_removed"], r["kept"]) for r in report(docs).collect()]
+    assert sorted(map(repr, (g for g in got if g[0] != 990))) == sorted(map(repr, want)) and len(got) == len(rows)
     kept = deduplicate_lines(docs)
-    assert kept.columns == docs.columns and 3 not in {r["doc_id"] for r in kept.collect()} and kept.where("doc_id = 301").first()["n_chars"] == len(line(2001))
-    assert kept.where("doc_id = 6").count() == 2
-    assert report(docs_of(spark, [])).count() == 0 and removals(docs_of(spark, [])).count() == 0
-
-
-def test_line_dedup_at_any_frequency(spark):
-    """Copies and long lines go however many documents hold them; one common short line stays."""
+    assert kept.columns == docs.columns
+    stays = sorted(repr((i, k)) for i, _, n, k in got if not n or k.strip(" \t\n\v\f\r"))
+    mine = kept.select("doc_id", "text", "n_chars").collect()
+    assert sorted(repr((r[0], r[1] or "")) for r in mine) == stays and all(r[2] == (len(r[1]) if r[1] is not None else None) for r in mine)
+    texts = dict(rows)
+    for r in common_blocks(docs).collect():
+        for b in r["blocks"]:
+            full = [[x.strip() for x in texts[i].split("\n") if x.strip()] for i in (b["partner"], r["id"])]
+            assert b["partner"] < r["id"] and full[0][b["partner_start"] :][: b["lines"]] == full[1][b["start"] :][: b["lines"]]
+    assert report(docs_of(spark, [])).count() == 0 and deduplicate_lines(docs_of(spark, [])).count() == 0
+
+
+def test_line_dedup_has_no_cliff(spark):
+    """However many documents hold a block, all but the first lose it; hot units take the broadcast way."""
     from marlstone.llm.line_dedup import report
 
     line = lambda k: f"this is a line of its own number {k}"
-    passage = " ".join(f"word{k}" for k in range(60))
-    rows = [(1000 + i, line(1)) for i in range(150)] + [(2000 + i, line(2) + "\n" + line(3)) for i in range(150)]
-    rows += [(3000 + i, passage + "\n" + line(5000 + i)) for i in range(150)]
-    rows += [(4000 + i, "a licence line that very many documents hold\n" + line(6000 + i)) for i in range(150)]
-    # The three lines of these copies have three first holders.
-    rows += [(10 + k, line(20 + k) + "\n" + line(30 + k)) for k in range(3)]
-    rows += [(5000 + i, "\n".join([line(20), line(21), line(22), line(7000 + i)])) for i in range(150)]
-    got = {r["doc_id"]: r for r in report(docs_of(spark, rows)).collect()}
-    assert got[1000]["n_removed"] == got[2000]["n_removed"] == got[3000]["n_removed"] == 0
-    assert all(got[1000 + i]["n_removed"] == 1 and got[2000 + i]["n_removed"] == 2 for i in range(1, 150))
-    assert all(got[3000 + i]["kept"] == line(5000 + i) and got[5000 + i]["kept"] == line(7000 + i) for i in range(1, 150))
-    assert all(got[4000 + i]["n_removed"] == 0 for i in range(150))
-
-
-def test_line_dedup_of_short_lines(spark):
-    """Copies made of short lines go, as does a shared block of them; one short line alone stays."""
-    from marlstone.llm.line_dedup import report
-
-    verse = [f"verse {k}" for k in range(200)]
-    rows = [(1, "\n".join(verse)), (2, "\n".join(verse)), (3, "ends\n" + "\n".join(verse[50:60]) + "\nother"), (4, "tiny"), (5, "tiny"), (6, "tiny\nmore")]
-    rows += [(10 + i, "你好世界\n再见") for i in range(120)] + [(200, " \n"), (201, " \n"), (202, None)]
-    got = {r["doc_id"]: r for r in report(docs_of(spark, rows)).collect()}
-    assert got[2]["kept"] == "" and got[3]["kept"] == "ends\nother" and got[5]["n_removed"] == 1
-    assert all(got[i]["n_removed"] == 0 for i in (1, 4, 6, 10, 200, 201, 202)) and all(got[10 + i]["n_removed"] == 2 for i in range(1, 120))
+    for holders in (2, 100, 101, 400):
+        rows = [(i, f"{line(1)}\n{line(2)}\n{line(1000 + i)}") for i in range(holders)]
+        got = report(docs_of(spark, rows)).collect()
+        assert sum(r["n_removed"] for r in got) == 2 * (holders - 1)
+        assert all(r["kept"] == line(1000 + r["doc_id"]) for r in got if r["doc_id"])
+    rows = [(5, line(1) + "\n" + line(2)), (5, line(1) + "\n" + line(3)), (5, line(1) + "\n" + line(2))]  # texts that share an id
+    got = sorted(r["kept"] for r in report(docs_of(spark, rows)).collect())
+    assert got in ([line(1) + "\n" + line(2)] * 2 + [line(3)], [line(1) + "\n" + line(3), line(2), line(2)])
 
 
 def test_language_id(spark):
