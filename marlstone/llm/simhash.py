@@ -18,6 +18,7 @@ and is linked to the smallest one that emits the same value.  Nothing is capped
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
@@ -27,7 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import DOCUMENT_COLUMNS, drop_table, parallelism, write_table
 from .components import connected_components
-from .similar import one_of_each, text_key
+from .shingles import fingerprint_of, shingle_hashes
+from .similar import SIMILARITY, one_of_each, similar_groups, text_key
 
 RADIUS = 4
 SLABS = 8
@@ -46,34 +48,8 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        lower = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-        digest = xxhash.xxh64_intdigest
-
-        def one(text) -> int:
-            if not text:
-                return 0
-            words = text.encode("utf-8", "surrogatepass").translate(lower).split()
-            if not words:
-                return 0
-            n = len(words) - shingle + 1
-            if n <= 1:
-                return digest(b" ".join(words), 42)
-            joined = b" ".join(words)
-            sizes = np.fromiter(map(len, words), np.int64, len(words))
-            ends = np.cumsum(sizes + 1) - 1
-            starts = ends - sizes
-            spans = zip(starts[:n].tolist(), ends[shingle - 1 :].tolist(), strict=True)
-            counts, part = np.zeros(64, np.int64), 65_536
-            h = np.fromiter((digest(joined[a:b], 42) for a, b in spans), np.uint64, n)
-            for at in range(0, n, part):
-                bits = np.unpackbits(h[at : at + part].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                counts += bits.sum(axis=0, dtype=np.int64)
-            return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
-
         for batch in batches:
-            fps = np.fromiter((one(t.as_py()) for t in batch.column(1)), np.uint64, batch.num_rows)
+            fps = np.fromiter((fingerprint_of(shingle_hashes(t.as_py(), shingle)) for t in batch.column(1)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
@@ -283,4 +259,19 @@ def deduplicate(docs: DataFrame, radius: int = RADIUS, shingle: int = 5) -> Data
     return one_of_each(keyed, labels)
 
 
-__all__ = ["DOCUMENT_COLUMNS", "deduplicate", "drop_table", "fingerprint_links", "fingerprints", "near_groups"]
+def deduplicate_near(docs: DataFrame, similarity: Fraction = SIMILARITY, shingle: int = 5, radius: int = RADIUS) -> DataFrame:
+    """The rows of ``docs`` less every near copy: of each group that links of ``similarity`` or more (Jaccard, of
+    the sets of shingles) join, the row with the smallest doc_id stays, and one of its repeats.
+
+    Fingerprints at most ``radius`` apart, found by the grid, are candidates, which the shingle sets decide; so
+    are texts that the same way over wide fingerprints finds (see ``similar``), since 64 bits reach no similarity
+    of 0.8.  Defined cases: null and wordless texts are alike; rows with a null doc_id are as good as others,
+    though never chosen where their group has another; texts that share a doc_id are told apart by their text;
+    an empty table gives none.
+    """
+    keyed = docs.withColumn("__key", text_key(docs["text"]))
+    texts = keyed.select(F.col("__key").alias("key"), F.col("text").cast("string").alias("text")).where("key <> 0")
+    return one_of_each(keyed, similar_groups(texts, similarity, shingle, lambda fps: fingerprint_links(fps, radius)))
+
+
+__all__ = ["DOCUMENT_COLUMNS", "deduplicate", "deduplicate_near", "drop_table", "fingerprint_links", "fingerprints", "near_groups"]

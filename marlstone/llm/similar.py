@@ -1,20 +1,28 @@
-"""Near-dedup by exact Jaccard similarity of word shingles: a prefix-filtered join, then an exact check.
+"""Near-dedup by Jaccard similarity of word shingles: wide fingerprints, segment popcounts, exact check.
 
 A SimHash of 64 bits can't decide a similarity of 0.8 (such pairs lie some 10 bits apart, many over
-14), and no radius of its grid reaches there.  Here nothing is left to chance.  A text's distinct
-shingle hashes stand in one order that all texts share; two sets of similarity t or more have a hash
-in common among the first ``n - ceil(t n) + 1`` of each.  Texts that share such a hash are
-candidates; sizes and odd sketches (bin parities, whose Hamming distance never exceeds the size of
-the symmetric difference) screen them without loss, and the shingle sets of the rest are compared.
+14), and no radius of its grid reaches there; so its links are only the first candidates.  A text's
+wide fingerprint is the bitmap of its distinct 64-bit shingle hashes; the Hamming distance of two is
+the size of their symmetric difference, which the similarity bounds.
+
+1. Cells.  All hashes stand in one order that all texts share (hashes that a bounded sample shows to
+   be common last; the order bears on speed alone).  Two sets of similarity t or more have a hash in
+   common among the first ``n - ceil(t n) + 1`` of each, so texts that share such a cell are
+   candidates, and no others can be similar.
+2. Segment popcounts.  A bitmap's segments are counted (segments by the leading bits, about four
+   hashes each), and the Manhattan distance of two vectors of counts never exceeds the Hamming
+   distance: candidates whose distance is over what the similarity allows are passed over, without
+   loss.  Within a cell the parities of 1,024 bins screen first, for the same reason.
+3. The shingle sets of what is left decide.
 
 Scale: only (hash, text key) rows travel, and those of hashes held once go no further.  Each text is
-first checked against the smallest key of its hashes; afterwards only members of different groups are
+first checked against the smallest key of its cells; afterwards only members of different groups are
 compared, so a large group of near copies costs its size and not its square.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 
 import numpy as np
@@ -22,12 +30,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import parallelism, write_table
+from .common import drop_table, parallelism, write_table
 from .components import connected_components
+from .shingles import fingerprint_of, shingle_hashes
 
 SIMILARITY = Fraction(4, 5)
 SHINGLE = 5
 SKETCH = 1024
+#: Texts that the order of hashes is taken from, at most, and how many of them make a hash common.
+SAMPLE, COMMON = 4_096, 6
 
 
 def text_key(text: Column) -> Column:
@@ -37,20 +48,25 @@ def text_key(text: Column) -> Column:
 
 
 def shingle_set(text: str | None, shingle: int) -> np.ndarray:
-    """The distinct XXH64 (seed 42) of the shingles, sorted; words as ``simhash.fingerprints`` has them."""
-    import xxhash
-
-    lower = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-    words = (text or "").encode("utf-8", "surrogatepass").translate(lower).split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(words)
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(sizes + 1) - 1
-    n = max(1, len(words) - shingle + 1)
-    spans = zip((ends - sizes)[:n].tolist(), ends[min(shingle, len(words)) - 1 :].tolist(), strict=True)
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(joined[a:b], 42) for a, b in spans), np.uint64, n))
+    """The distinct hashes of the shingles, sorted."""
+    return np.unique(shingle_hashes(text, shingle))
+
+
+def segment_counts(h: np.ndarray) -> np.ndarray:
+    """The popcounts (uint8) of a bitmap's segments: a power of two of them, about one for four of the distinct,
+    sorted hashes.  Where a segment's count is over a byte: empty, which screens nothing."""
+    bits = max(4, min(16, (max(1, len(h)) - 1).bit_length() - 2))
+    counts = np.bincount((h >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return counts.astype(np.uint8) if counts.max(initial=0) < 256 else np.zeros(0, np.uint8)
+
+
+def manhattan(a: np.ndarray, b: np.ndarray) -> int:
+    """Distance of two vectors of segment counts; the finer one is folded to the other's segments."""
+    n = min(len(a), len(b))
+    if not n:
+        return 0
+    x, y = (v.reshape(n, -1).sum(axis=1, dtype=np.int32) for v in (a, b))
+    return int(np.abs(x - y).sum())
 
 
 def _similar(common, n_a, n_b, t: Fraction):
@@ -64,28 +80,49 @@ def _possible(differ, n_a, n_b, t: Fraction):
     return fits & (np.minimum(n_a, n_b) * t.denominator >= np.maximum(n_a, n_b) * t.numerator)
 
 
-def profiles(texts: DataFrame, t: Fraction, shingle: int) -> DataFrame:
-    """(key, n, sketch, prefix) of (key, text)."""
+def common_hashes(texts: DataFrame, shingle: int) -> np.ndarray:
+    """Hashes held by ``COMMON`` texts or more of a sample of ``SAMPLE`` (those with the smallest hash of their
+    key): sorted, a few thousand at most.  They bear on the order of cells alone, not on results."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text.as_py(), shingle).view(np.int64))], names=["hash"])
+
+    picked = texts.select(F.col("key").alias("k")).distinct().orderBy(F.xxhash64("k"), "k").limit(SAMPLE)
+    some = texts.join(F.broadcast(picked), texts["key"] == picked["k"]).dropDuplicates(["key"]).select("text")
+    counts = some.mapInArrow(run, "hash bigint").groupBy("hash").count().where(F.col("count") >= COMMON)
+    rows = counts.orderBy(F.desc("count"), "hash").limit(4 * SAMPLE).collect()
+    return np.sort(np.array([r["hash"] for r in rows], np.int64).view(np.uint64))
+
+
+def profiles(texts: DataFrame, t: Fraction, shingle: int, common: np.ndarray) -> DataFrame:
+    """(key, n, fp, sketch, counts, prefix) of (key, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                ns, sketches, prefixes = [], [], []
-                for text in part.column(1).to_pylist():
-                    h = shingle_set(text, shingle)
+                ns, fps, sketches, counts, prefixes = [], [], [], [], []
+                for text in part.column(1):
+                    h = shingle_hashes(text.as_py(), shingle)
+                    fps.append(fingerprint_of(h))
+                    h = np.unique(h)
                     n = len(h)
                     bins = np.bincount((h >> np.uint64(20)).astype(np.int64) % SKETCH, minlength=SKETCH) & 1
                     ns.append(n)
                     sketches.append(np.packbits(bins.astype(np.uint8)).tobytes())
+                    counts.append(segment_counts(h).tobytes())
+                    if len(common):
+                        last = np.isin(h, common, assume_unique=True)
+                        h = np.concatenate([h[~last], h[last]])
                     prefixes.append(h[: n + (-n * t.numerator // t.denominator) + 1 if n else 0].view(np.int64))
                 flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, prefixes)]), pa.int32()), pa.array(flat, pa.int64()))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(ns, pa.int64()), pa.array(sketches, pa.binary()), lists], names=["key", "n", "sketch", "prefix"]
-                )
+                columns = [part.column(0), pa.array(ns, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sketches, pa.binary()), pa.array(counts, pa.binary()), lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "n", "fp", "sketch", "counts", "prefix"])
 
-    return texts.mapInArrow(run, "key bigint, n bigint, sketch binary, prefix array<bigint>")
+    return texts.mapInArrow(run, "key bigint, n bigint, fp bigint, sketch binary, counts binary, prefix array<bigint>")
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,55 +189,75 @@ def _across(t: Fraction):
 
 
 def _screened(pairs: DataFrame, table: DataFrame, t: Fraction) -> DataFrame:
-    """The pairs (a, b) whose sizes and sketches allow the similarity."""
+    """The pairs (a, b) whose sizes, parities and segment counts allow the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_a, n_b = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
-            s = [np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(-1, SKETCH // 64) for i in (4, 5)]
-            ok = _possible(np.bitwise_count(s[0] ^ s[1]).sum(axis=1, dtype=np.int64), n_a, n_b, t)
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(ok)) for i in (0, 1)], names=["a", "b"])
-
-    sides = [table.select(F.col("key").alias(f"k{s}"), F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"s{s}")) for s in "ab"]
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                n_a, n_b = (part.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
+                s = [np.frombuffer(b"".join(part.column(i).to_pylist()), np.uint64).reshape(-1, SKETCH // 64) for i in (4, 5)]
+                ok = _possible(np.bitwise_count(s[0] ^ s[1]).sum(axis=1, dtype=np.int64), n_a, n_b, t)
+                for i in np.nonzero(ok)[0].tolist():
+                    x, y = (np.frombuffer(part.column(c)[i].as_py(), np.uint8) for c in (6, 7))
+                    ok[i] = _possible(manhattan(x, y), n_a[i], n_b[i], t)
+                yield pa.RecordBatch.from_arrays([part.column(i).filter(pa.array(ok)) for i in (0, 1)], names=["a", "b"])
+
+    sides = [table.select(F.col("key").alias(f"k{s}"), F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"s{s}"), F.col("counts").alias(f"c{s}")) for s in "ab"]
     both = pairs.join(sides[0], pairs["a"] == sides[0]["ka"]).join(sides[1], F.col("b") == F.col("kb"))
-    return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
+    return both.select("a", "b", "na", "nb", "sa", "sb", "ca", "cb").mapInArrow(run, "a bigint, b bigint")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, t: Fraction, shingle: int) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have the similarity."""
+    """The pairs (a, b) whose shingle sets have the similarity; each text's set is computed once."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                held = [shingle_set(x.as_py(), shingle).tobytes() for x in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(held, pa.binary())], names=["key", "held"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, known = None, None
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part, keep = batch.slice(at, 256), []
-                for b, ta, tb in zip(*(part.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-                    if b != last:
-                        last, known = b, shingle_set(tb, shingle)
-                    x = shingle_set(ta, shingle)
-                    common = len(np.intersect1d(x, known, assume_unique=True))
-                    keep.append(bool(_similar(common, len(x), len(known), t)))
-                yield pa.RecordBatch.from_arrays([part.column(i).filter(pa.array(keep, pa.bool_())) for i in (0, 1)], names=["a", "b"])
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                keep.append(bool(_similar(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), t)))
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep, pa.bool_())) for i in (0, 1)], names=["a", "b"])
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("w")).distinct()
     some = texts.join(wanted, texts["key"] == wanted["w"], "left_semi").dropDuplicates(["key"])
-    some = write_table(some, "similar-texts")
-    sides = [some.select(F.col("key").alias(f"k{s}"), F.col("text").alias(f"t{s}")) for s in "ab"]
+    some = write_table(some.mapInArrow(sets, "key bigint, held binary"), "similar-sets")
+    sides = [some.select(F.col("key").alias(f"k{s}"), F.col("held").alias(f"h{s}")) for s in "ab"]
     both = pairs.join(sides[0], pairs["a"] == sides[0]["ka"]).join(sides[1], F.col("b") == F.col("kb"))
-    return write_table(both.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint"), "similar-links")
+    out = write_table(both.select("a", "b", "ha", "hb").mapInArrow(run, "a bigint, b bigint"), "similar-links")
+    drop_table(some)
+    return out
 
 
-def similar_groups(texts: DataFrame, similarity: Fraction = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
+def similar_groups(texts: DataFrame, similarity: Fraction = SIMILARITY, shingle: int = SHINGLE, near: Callable | None = None) -> DataFrame:
     """(node, root) for the keys of ``texts`` (key, text) that are linked to others: two are linked
-    if the Jaccard similarity of their sets of shingles is ``similarity`` or more."""
+    if the Jaccard similarity of their sets of shingles is ``similarity`` or more.
+
+    ``near``: a function from fingerprints (fp) to links (a, b) among them, whose texts are candidates too.
+    """
     n = parallelism(texts.sparkSession)
-    table = write_table(profiles(texts, similarity, shingle), "similar-profiles")
+    table = write_table(profiles(texts, similarity, shingle, common_hashes(texts, shingle)), "similar-profiles")
     rows = table.select(F.explode("prefix").alias("hash"), "key")
     shared = write_table(
         rows.repartition(n, "hash").sortWithinPartitions("hash", "key").mapInArrow(_shared, "hash bigint, key bigint, lead bigint"), "similar-shared"
     )
-    table = table.select("key", "n", "sketch").dropDuplicates(["key"])
-    first = write_table(_screened(shared.select(F.col("key").alias("a"), F.col("lead").alias("b")).distinct(), table, similarity), "similar-pairs")
+    first = shared.select(F.col("key").alias("a"), F.col("lead").alias("b"))
+    if near:
+        lead = write_table(table.groupBy("fp").agg(F.min("key").alias("lead")), "similar-fingerprints")
+        named = [lead.select(F.col("fp").alias(f"fp{s}"), F.col("lead").alias(f"lead{s}")) for s in "ab"]
+        links = near(lead.select("fp"))
+        links = links.join(named[0], links["a"] == F.col("fpa")).join(named[1], links["b"] == F.col("fpb")).select(F.col("leada").alias("a"), F.col("leadb").alias("b"))
+        alike = table.join(named[0], table["fp"] == F.col("fpa")).select(F.col("key").alias("a"), F.col("leada").alias("b")).where("a <> b")
+        first = first.unionByName(links.unionByName(alike).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+    table = table.select("key", "n", "sketch", "counts").dropDuplicates(["key"])
+    first = write_table(_screened(first.distinct(), table, similarity), "similar-pairs")
     links = _verified(first, texts, similarity, shingle)
     roots = connected_components(links)
     # What stays apart is compared across groups.
@@ -208,9 +265,9 @@ def similar_groups(texts: DataFrame, similarity: Fraction = SIMILARITY, shingle:
     named = holders.join(roots, holders["key"] == roots["node"], "left").select("hash", "key", F.coalesce("root", "key").alias("root"))
     named = write_table(named, "similar-named")
     mixed = named.groupBy(F.col("hash").alias("h")).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    named = named.join(mixed, named["hash"] == mixed["h"], "left_semi").join(table, "key").select("hash", "key", "root", "n", "sketch")
+    named = named.join(mixed, named["hash"] == mixed["h"], "left_semi").join(table.drop("counts"), "key").select("hash", "key", "root", "n", "sketch")
     across = named.repartition(n, "hash").sortWithinPartitions("hash", "key").mapInArrow(_across(similarity), "a bigint, b bigint")
-    second = write_table(across.distinct().join(first, ["a", "b"], "left_anti"), "similar-pairs")
+    second = write_table(_screened(across.distinct().join(first, ["a", "b"], "left_anti"), table, similarity), "similar-pairs")
     more = _verified(second, texts, similarity, shingle)
     return connected_components(links.unionByName(more))
 
@@ -230,16 +287,3 @@ def one_of_each(docs: DataFrame, labels: DataFrame) -> DataFrame:
     same = (kept["__key"] == rows["__same"]) & kept["doc_id"].cast("bigint").eqNullSafe(rows["__id"])
     repeated = kept.join(rows, same, "left_semi").dropDuplicates(["doc_id", "__key"])
     return kept.join(rows, same, "left_anti").unionByName(repeated).drop("__key")
-
-
-def deduplicate_similar(docs: DataFrame, similarity: Fraction = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
-    """The rows of ``docs`` less every near copy: of each group that links of ``similarity`` or more
-    join, the row with the smallest doc_id stays, and one of its repeats.
-
-    Defined cases: null and wordless texts are alike; rows with a null doc_id are as good as others,
-    though never chosen where their group has another; texts that share a doc_id are told apart by
-    their text; an empty table gives none.
-    """
-    keyed = docs.withColumn("__key", text_key(docs["text"]))
-    texts = keyed.select(F.col("__key").alias("key"), F.col("text").cast("string").alias("text")).where("key <> 0")
-    return one_of_each(keyed, similar_groups(texts, similarity, shingle))

@@ -75,7 +75,7 @@ def test_simhash_against_brute_force(spark, odd):
 
 def test_similar_against_brute_force(spark, odd):
     """Pairs at 0.8 and above are linked however far their fingerprints lie apart, none below."""
-    from marlstone.llm.similar import deduplicate_similar
+    from marlstone.llm.simhash import deduplicate_near
 
     rng = random.Random(8)
     rows = list(odd)
@@ -102,19 +102,36 @@ def test_similar_against_brute_force(spark, odd):
     best = {}
     for (i, _), g in zip(sets, group, strict=True):
         best[g] = min((i is None, i), best.get(g, (True, None)), key=lambda v: (v[0], v[1] or 0))
-    got = deduplicate_similar(docs_of(spark, rows, CLASHING))
+    got = deduplicate_near(docs_of(spark, rows, CLASHING))
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in got.collect()) == sorted((n, i or 0) for n, i in best.values()) and len(got.columns) == 8
-    assert deduplicate_similar(docs_of(spark, [])).count() == 0
+    assert deduplicate_near(docs_of(spark, [])).count() == 0
+
+
+def test_segment_counts_bound_the_difference():
+    """The Manhattan distance of segment counts never exceeds the symmetric difference, whatever the sizes."""
+    import numpy as np
+
+    from marlstone.llm.similar import manhattan, segment_counts
+
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 5, 60, 700, 9_000):
+        for m in (1, 40, 5_000):
+            a = rng.integers(0, 2**63, n, dtype=np.uint64) * 2
+            b = np.concatenate([a[: n // 2], rng.integers(0, 2**63, m, dtype=np.uint64)])
+            a, b = np.unique(a), np.unique(b)
+            differ = len(np.setxor1d(a, b))
+            assert manhattan(segment_counts(a), segment_counts(b)) <= differ
+    same = np.unique(rng.integers(0, 2**20, 100_000, dtype=np.uint64))
+    assert len(segment_counts(same)) == 0 and manhattan(segment_counts(same), segment_counts(a)) == 0
 
 
 def test_near_dedup_tells_null_and_shared_ids_apart(spark):
-    from marlstone.llm.similar import deduplicate_similar
-    from marlstone.llm.simhash import deduplicate
+    from marlstone.llm.simhash import deduplicate, deduplicate_near
 
     rng = random.Random(9)
     one, two, three, four = (words(rng, 80, 5000) for _ in range(4))
     rows = [(None, one), (None, two), (None, two), (None, None), (None, " "), (1, three), (5, three), (5, four)]
-    for near in (deduplicate, deduplicate_similar):
+    for near in (deduplicate, deduplicate_near):
         got = [(r["doc_id"], (r["text"] or "").strip()) for r in near(docs_of(spark, rows, CLASHING)).collect()]
         assert sorted(got, key=str) == sorted([(None, one), (None, two), (None, ""), (1, three), (5, four)], key=str)
 
