@@ -17,7 +17,7 @@ from marlstone.llm.decontaminate import decontaminate
 from marlstone.llm.language_id import keep_identified
 from marlstone.llm.line_dedup import deduplicate_lines
 from marlstone.llm.packing import pack
-from marlstone.llm.similar import deduplicate_similar
+from marlstone.llm.simhash import deduplicate_near
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +33,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies, linked at a similarity of 0.8 of their five-word shingles, the
     document with the smallest doc_id stays."""
-    return deduplicate_similar(docs).select(*DOCUMENT_COLUMNS)
+    return deduplicate_near(docs).select(*DOCUMENT_COLUMNS)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
