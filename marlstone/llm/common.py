@@ -52,6 +52,24 @@ def drop_table(df: DataFrame) -> None:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def tidy(function):
+    """A function of a Python worker, batches to batches, that gives free memory back to the system when it ends:
+    workers are reused, and what one operator's task held would count against the next one's."""
+
+    def run(batches):
+        yield from function(batches)
+        import ctypes
+
+        import pyarrow as pa
+
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return run
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

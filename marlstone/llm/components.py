@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, write_table
+from .common import drop_table, tidy, write_table
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,7 +50,7 @@ def connected_components(links: DataFrame) -> DataFrame:
     lie in the shared folder.  A link of a node to itself makes it a component.  Nulls are ignored.
     """
     links = links.select(F.col("a").cast("bigint"), F.col("b").cast("bigint")).where("a is not null and b is not null")
-    edges = write_table(links.mapInArrow(_forest, "a bigint, b bigint").distinct(), "components-edges")
+    edges = write_table(links.mapInArrow(tidy(_forest), "a bigint, b bigint").distinct(), "components-edges")
     nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     loops = links.where("a = b").select(F.col("a").alias("node")).distinct()
     steps: list[DataFrame] = []
@@ -72,7 +72,7 @@ def connected_components(links: DataFrame) -> DataFrame:
         pa_, pb_ = (point.select(F.col("node").alias(f"n{s}"), F.col("to").alias(f"t{s}")) for s in "ab")
         moved = edges.join(pa_, edges["a"] == pa_["na"]).join(pb_, F.col("b") == pb_["nb"])
         moved = moved.select(F.col("ta").alias("a"), F.col("tb").alias("b")).where("a <> b").distinct()
-        fresh = write_table(moved.mapInArrow(_forest, "a bigint, b bigint").distinct(), "components-edges")
+        fresh = write_table(moved.mapInArrow(tidy(_forest), "a bigint, b bigint").distinct(), "components-edges")
         if seed:
             drop_table(edges)
         edges = fresh

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-from .common import drop_table, parallelism, write_table
+from .common import drop_table, parallelism, tidy, write_table
 
 #: Characters that a unit has at least.
 LEAST_CHARS = 20
@@ -188,7 +188,7 @@ def document_units(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(units, kind)], names=["id", "key", "units"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("id"), _key(docs).alias("key"), F.col("text").cast("string").alias("text"))
-    rows = rows.where("id is not null").mapInArrow(run, "id bigint, key bigint, units array<struct<h:bigint,at:int,n:int>>")
+    rows = rows.where("id is not null").mapInArrow(tidy(run), "id bigint, key bigint, units array<struct<h:bigint,at:int,n:int>>")
     return rows.where(F.size("units") > 0).dropDuplicates(["id", "key"])
 
 
@@ -229,7 +229,7 @@ def common_blocks(docs: DataFrame) -> DataFrame:
                     out.append(blocks)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, kind)], names=["id", "key", "blocks"])
 
-    found = shared.mapInArrow(run, "id bigint, key bigint, blocks array<struct<partner:bigint,partner_start:int,start:int,lines:int>>")
+    found = shared.mapInArrow(tidy(run), "id bigint, key bigint, blocks array<struct<partner:bigint,partner_start:int,start:int,lines:int>>")
     found = write_table(found, "lines-blocks")
     drop_table(stats)
     drop_table(table)
@@ -287,7 +287,7 @@ def _with_cuts(docs: DataFrame) -> DataFrame:
     flat[where] = F.col("text").cast("string").alias(f"c{where}")
     rows = rows.select(*flat)
     schema = StructType([*rows.schema.fields[:-1], *(StructField(f"c{len(flat) - 1 + i}", t) for i, t in enumerate(types))])
-    return rows.mapInArrow(run, schema).toDF(*docs.columns, "__kept", "__lines", "__removed", "__partners")
+    return rows.mapInArrow(tidy(run), schema).toDF(*docs.columns, "__kept", "__lines", "__removed", "__partners")
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import write_table
+from .common import tidy, write_table
 
 CAPACITY = 2048
 SMALL = 8
@@ -57,7 +57,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
                 self.make = make
 
             def __missing__(self, word: str) -> bytes:
-                if len(self) > 600_000:
+                if len(self) > 250_000:
                     self.clear()
                 out = self[word] = self.make(word)
                 return out
@@ -108,7 +108,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
 
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int64()]
     table = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return table.mapInArrow(run, "doc_id bigint, piece int, start bigint, length int, ids binary, task int, place bigint")
+    return table.mapInArrow(tidy(run), "doc_id bigint, piece int, start bigint, length int, ids binary, task int, place bigint")
 
 
 def _best_column(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> np.ndarray:
@@ -274,4 +274,4 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
 
     ranked = table.join(offsets, (table["task"] == offsets["t"]) & (table["length"] == offsets["l"]))
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids", (F.col("base") + F.col("place")).alias("rank"))
-    return ranked.mapInArrow(assign, "doc_id bigint, piece int, start bigint, length int, ids binary, sequence_id bigint, offset bigint")
+    return ranked.mapInArrow(tidy(assign), "doc_id bigint, piece int, start bigint, length int, ids binary, sequence_id bigint, offset bigint")

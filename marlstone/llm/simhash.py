@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import DOCUMENT_COLUMNS, drop_table, parallelism, write_table
+from .common import DOCUMENT_COLUMNS, drop_table, parallelism, tidy, write_table
 from .components import connected_components
 from .shingles import fingerprint_of, shingle_hashes
 from .similar import SIMILARITY, one_of_each, similar_groups, text_key
@@ -53,7 +53,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "doc_id bigint, fp bigint"
+        tidy(run), "doc_id bigint, fp bigint"
     )
 
 
@@ -220,12 +220,12 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS, cell_size: int = CEL
     if radius % 2:
         raise ValueError("radius must be even")
     n = parallelism(spark)
-    cells = fps.select("fp").mapInArrow(to_cells, "cell bigint, fp bigint")
+    cells = fps.select("fp").mapInArrow(tidy(to_cells), "cell bigint, fp bigint")
     found = write_table(
-        cells.repartition(n, "cell").sortWithinPartitions("cell", "fp").mapInArrow(compare, "a bigint, b bigint").distinct(), "simhash-links"
+        cells.repartition(n, "cell").sortWithinPartitions("cell", "fp").mapInArrow(tidy(compare), "a bigint, b bigint").distinct(), "simhash-links"
     )
-    hot = found.where("a = b").select(F.col("a").alias("fp")).distinct().mapInArrow(around, "cell bigint, fp bigint")
-    more = hot.repartition(n, "cell").sortWithinPartitions("cell", "fp").mapInArrow(star, "a bigint, b bigint").distinct()
+    hot = found.where("a = b").select(F.col("a").alias("fp")).distinct().mapInArrow(tidy(around), "cell bigint, fp bigint")
+    more = hot.repartition(n, "cell").sortWithinPartitions("cell", "fp").mapInArrow(tidy(star), "a bigint, b bigint").distinct()
     return found.where("a <> b").unionByName(more)
 
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, parallelism, write_table
+from .common import drop_table, parallelism, tidy, write_table
 from .components import connected_components
 from .shingles import fingerprint_of, shingle_hashes
 
@@ -91,7 +91,7 @@ def common_hashes(texts: DataFrame, shingle: int) -> np.ndarray:
 
     picked = texts.select(F.col("key").alias("k")).distinct().orderBy(F.xxhash64("k"), "k").limit(SAMPLE)
     some = texts.join(F.broadcast(picked), texts["key"] == picked["k"]).dropDuplicates(["key"]).select("text")
-    counts = some.mapInArrow(run, "hash bigint").groupBy("hash").count().where(F.col("count") >= COMMON)
+    counts = some.mapInArrow(tidy(run), "hash bigint").groupBy("hash").count().where(F.col("count") >= COMMON)
     rows = counts.orderBy(F.desc("count"), "hash").limit(4 * SAMPLE).collect()
     return np.sort(np.array([r["hash"] for r in rows], np.int64).view(np.uint64))
 
@@ -122,7 +122,7 @@ def profiles(texts: DataFrame, t: Fraction, shingle: int, common: np.ndarray) ->
                 columns = [part.column(0), pa.array(ns, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sketches, pa.binary()), pa.array(counts, pa.binary()), lists]
                 yield pa.RecordBatch.from_arrays(columns, names=["key", "n", "fp", "sketch", "counts", "prefix"])
 
-    return texts.mapInArrow(run, "key bigint, n bigint, fp bigint, sketch binary, counts binary, prefix array<bigint>")
+    return texts.mapInArrow(tidy(run), "key bigint, n bigint, fp bigint, sketch binary, counts binary, prefix array<bigint>")
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +205,7 @@ def _screened(pairs: DataFrame, table: DataFrame, t: Fraction) -> DataFrame:
 
     sides = [table.select(F.col("key").alias(f"k{s}"), F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"s{s}"), F.col("counts").alias(f"c{s}")) for s in "ab"]
     both = pairs.join(sides[0], pairs["a"] == sides[0]["ka"]).join(sides[1], F.col("b") == F.col("kb"))
-    return both.select("a", "b", "na", "nb", "sa", "sb", "ca", "cb").mapInArrow(run, "a bigint, b bigint")
+    return both.select("a", "b", "na", "nb", "sa", "sb", "ca", "cb").mapInArrow(tidy(run), "a bigint, b bigint")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, t: Fraction, shingle: int) -> DataFrame:
@@ -228,10 +228,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, t: Fraction, shingle: int) ->
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("w")).distinct()
     some = texts.join(wanted, texts["key"] == wanted["w"], "left_semi").dropDuplicates(["key"])
-    some = write_table(some.mapInArrow(sets, "key bigint, held binary"), "similar-sets")
+    some = write_table(some.mapInArrow(tidy(sets), "key bigint, held binary"), "similar-sets")
     sides = [some.select(F.col("key").alias(f"k{s}"), F.col("held").alias(f"h{s}")) for s in "ab"]
     both = pairs.join(sides[0], pairs["a"] == sides[0]["ka"]).join(sides[1], F.col("b") == F.col("kb"))
-    out = write_table(both.select("a", "b", "ha", "hb").mapInArrow(run, "a bigint, b bigint"), "similar-links")
+    out = write_table(both.select("a", "b", "ha", "hb").mapInArrow(tidy(run), "a bigint, b bigint"), "similar-links")
     drop_table(some)
     return out
 
@@ -246,7 +246,7 @@ def similar_groups(texts: DataFrame, similarity: Fraction = SIMILARITY, shingle:
     table = write_table(profiles(texts, similarity, shingle, common_hashes(texts, shingle)), "similar-profiles")
     rows = table.select(F.explode("prefix").alias("hash"), "key")
     shared = write_table(
-        rows.repartition(n, "hash").sortWithinPartitions("hash", "key").mapInArrow(_shared, "hash bigint, key bigint, lead bigint"), "similar-shared"
+        rows.repartition(n, "hash").sortWithinPartitions("hash", "key").mapInArrow(tidy(_shared), "hash bigint, key bigint, lead bigint"), "similar-shared"
     )
     first = shared.select(F.col("key").alias("a"), F.col("lead").alias("b"))
     if near:
@@ -266,7 +266,7 @@ def similar_groups(texts: DataFrame, similarity: Fraction = SIMILARITY, shingle:
     named = write_table(named, "similar-named")
     mixed = named.groupBy(F.col("hash").alias("h")).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
     named = named.join(mixed, named["hash"] == mixed["h"], "left_semi").join(table.drop("counts"), "key").select("hash", "key", "root", "n", "sketch")
-    across = named.repartition(n, "hash").sortWithinPartitions("hash", "key").mapInArrow(_across(similarity), "a bigint, b bigint")
+    across = named.repartition(n, "hash").sortWithinPartitions("hash", "key").mapInArrow(tidy(_across(similarity)), "a bigint, b bigint")
     second = write_table(_screened(across.distinct().join(first, ["a", "b"], "left_anti"), table, similarity), "similar-pairs")
     more = _verified(second, texts, similarity, shingle)
     return connected_components(links.unionByName(more))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parallelism, write_table
+from .common import parallelism, tidy, write_table
 
 WINDOW = 13
 PREFIX = 2
@@ -96,7 +96,7 @@ def _prefix_counts(docs: DataFrame, window: int) -> DataFrame:
         at = np.nonzero(n)[0]
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], names=["cell", "n"])
 
-    return docs.select("text").mapInArrow(run, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(tidy(run), "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
 
 
 def _plan(counts: list[tuple[int, int]], groups: int) -> tuple[np.ndarray, np.ndarray]:
@@ -284,11 +284,11 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         if found:
             yield from deal(found)
 
-    sent = docs.mapInArrow(split, "grp int, n bigint, docs binary, blob binary")
+    sent = docs.mapInArrow(tidy(split), "grp int, n bigint, docs binary, blob binary")
     # What blocks settled themselves goes anywhere.
     key = F.when(F.col("grp") >= 0, F.col("grp")).otherwise(F.crc32("blob"))
     dealt = sent.withColumn("deal", key).repartition(buckets, "deal").sortWithinPartitions("grp").drop("deal")
-    return dealt.mapInArrow(trees, "bucket int, n bigint, blob binary")
+    return dealt.mapInArrow(tidy(trees), "bucket int, n bigint, blob binary")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -370,6 +370,6 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["doc_id", "n_words", "n_removed", "kept"])
 
     marks = write_table(repeated_windows(docs, window), "substring-places")
-    texts = docs.mapInArrow(deal, "bucket int, n bigint, blob binary")
+    texts = docs.mapInArrow(tidy(deal), "bucket int, n bigint, blob binary")
     rows = marks.unionByName(texts).repartition(buckets, "bucket").sortWithinPartitions("bucket", F.col("n").desc())
-    return rows.mapInArrow(apply, "doc_id bigint, n_words bigint, n_removed bigint, kept string")
+    return rows.mapInArrow(tidy(apply), "doc_id bigint, n_words bigint, n_removed bigint, kept string")

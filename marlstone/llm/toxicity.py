@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE = 8_000
 #: A sentence of at least this score is named.
@@ -156,4 +158,4 @@ def score(docs: DataFrame, model: Model, offending: float = OFFENDING) -> DataFr
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(scores, pa.float64()), pa.array(spans, named)], names=["doc_id", "score", "offending"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, score double, offending array<struct<start:int,end:int,score:double>>")
+    return rows.mapInArrow(tidy(run), "doc_id bigint, score double, offending array<struct<start:int,end:int,score:double>>")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, parallelism, write_table
+from .common import new_path, parallelism, tidy, write_table
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
 #: Bytes of records after which a task starts another archive.
@@ -192,7 +192,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataF
         if index:
             yield close(data, index)
 
-    return write_table(rows.mapInArrow(run, "path string, records bigint"), "warc-manifest")
+    return write_table(rows.mapInArrow(tidy(run), "path string, records bigint"), "warc-manifest")
 
 
 def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
@@ -230,7 +230,7 @@ def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     schema = "page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, payload binary, path string, at bigint"
-    return manifest.select("path").repartition(parallelism(manifest.sparkSession)).mapInArrow(run, schema)
+    return manifest.select("path").repartition(parallelism(manifest.sparkSession)).mapInArrow(tidy(run), schema)
 
 
 def archive_folder(spark: SparkSession) -> str:
