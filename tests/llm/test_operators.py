@@ -559,6 +559,50 @@ def test_language_id(spark):
     assert identify(document_rows(docs), train(docs.limit(0))).where("not rejected").count() == 0
 
 
+def test_language_id_against_brute_force(spark):
+    """The fused posterior, each row's own verdict left out, in plain Python; and languages held out of the fit."""
+    from marlstone.llm import language_id as li
+
+    rng = random.Random(21)
+    sounds = {"aa": ["the", "ing", "tion", "wh"], "bb": ["eau", "ou", "que", "ai"], "rare": ["szcz", "rzy", "ąc", "ów"]}
+    make = lambda lang, n: " ".join("".join(rng.choice(sounds[lang]) for _ in range(2)) for _ in range(n))
+    rows = [(i, make(lang := "rare" if i % 100 == 7 else "ab"[i % 2] * 2, rng.randrange(1, 12)), lang, f"h{i % 5}.site{i % 2}.org", 0) for i in range(400)]
+    rows += [(1000 + i, make("aa", 3), None, "one.host", 0) for i in range(3)] + [(2000, "zz", None, None, 0), (2001, "", "aa", "h1.site1.org", 0)]
+    docs = spark.createDataFrame(rows, DOCS)
+    model = li.train(docs.where("doc_id % 4 <> 2"), sample=100)
+    assert model[0] == ["aa", "bb", "rare"]
+    inputs = li.document_rows(docs, declared="lang").withColumn("suffix", F.substring_index("host", ".", -1))
+    got = {r["id"]: r for r in li.identify(inputs, model).collect()}
+    held = [got[i]["language"] == lang for i, t, lang, _, _ in rows if lang and i % 4 == 2 and len(t) > 20]
+    assert len(held) > 50 and sum(held) / len(held) > 0.97
+
+    cells, n = li._trigram_cells(), 3
+    facts = []
+    for i, t, lang, host, _ in rows:
+        at = cells(t)
+        fits = model[1][at].sum(axis=0) / max(1, len(at)) * min(len(at), li.TRIGRAMS)
+        facts.append((i, len(at), fits, int(fits.argmax()) if len(at) else None, lang, host and ".".join(host.split(".")[-2:]), host, host and host.split(".")[-1]))
+    total = [sum(f[3] == k for f in facts) for k in range(n)]
+    whole = [(k + 1) / (sum(total) + n) for k in total]
+
+    def smooth(column, me, above):
+        mine = [0.0] * n
+        if facts[me][column] is not None:
+            for k, f in enumerate(facts):
+                if k != me and f[3] is not None and f[column] == facts[me][column]:
+                    mine[f[3]] += 1
+        return [(x + li.WEIGHT * p) / (sum(mine) + li.WEIGHT) for x, p in zip(mine, above, strict=True)]
+
+    for me, f in enumerate(facts):
+        if not f[1]:
+            assert got[f[0]]["rejected"]
+            continue
+        prior = smooth(6, me, smooth(5, me, whole))
+        e = [f[2][k] + math.log(prior[k]) + sum(math.log(smooth(c, me, whole)[k] / whole[k]) for c in (4, 7)) for k in range(n)]
+        weight = [math.exp(x - max(e)) for x in e]
+        assert abs(got[f[0]]["confidence"] - max(weight) / sum(weight)) < 1e-4 and got[f[0]]["language"] == model[0][e.index(max(e))]
+
+
 def test_pipeline_stages(spark, tmp_path):
     pytest.importorskip("public_tokenizers")
     import corpus_pipeline
