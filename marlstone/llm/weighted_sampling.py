@@ -7,33 +7,67 @@ value.  Two documents agree on a sample with a probability equal to the generali
 similarity of their weights.  The smallest value itself identifies term and step, so a fingerprint
 keeps 16 bits of its hash: 4 hexadecimal digits a sample.
 
-Scale: documents are dealt once, by runs of neighbouring doc_ids, so that a document's successor is
-in the same task but for the last of a run; words are counted and samples taken without another
+Scale: documents are dealt once, by runs of neighbouring doc_ids that end at quantiles, so that a
+document's successor is in the same task but for the last of a run; words are counted and samples taken without another
 shuffle.  The smallest values are plain running minima in generated code.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS, write_table
+from .common import BLANKS, parallelism, write_table
 
 SAMPLES = 64
 #: Samples taken in one pass over the terms; small enough for compiled code.
 PASS = 8
-#: Documents in a run, about.
-RUN = 64
+#: Runs of documents a partition, about.
+RUNS = 8
 _DIGITS = 4
 
 
+def _array(values, kind: str) -> Column:
+    """A constant array, however long: one literal, which the optimizer folds."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")
+
+
 def _runs(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) with their run: equal for neighbours, ascending with doc_id; null ids first."""
-    low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("doc_id")).first()
-    width = max(1, math.ceil((high - low + 1) / max(1, n // RUN))) if n else 1
-    return docs.withColumn("run", F.coalesce(F.floor((F.col("doc_id") - F.lit(low or 0)) / F.lit(width)), F.lit(-1)).cast("bigint"))
+    """docs (doc_id, text) with ``tie``, which orders equal doc_ids, and their run: equal for neighbours,
+    ascending with (doc_id, tie), null doc_ids first.
+
+    Runs end at quantiles of the doc_ids, so they are of like size however the ids lie.  A doc_id (or the null
+    one) that spans several quantiles is split by the tie, a hash of the text, at even steps.
+    """
+    spark = docs.sparkSession
+    wanted = RUNS * parallelism(spark)
+    docs = docs.withColumn("tie", F.xxhash64("text"))
+    n, some = docs.agg(F.count("*"), F.count("doc_id")).first()
+    steps = max(1, min(wanted, some))
+    shares = _array((i / steps for i in range(1, steps)), "double")
+    found = docs.agg(F.percentile_approx("doc_id", shares, F.lit(max(10_000, 8 * steps)))).first()[0] if steps > 1 else []
+    bounds: list[tuple[int, int]] = []
+    for doc_id, times in sorted(Counter(found).items()):
+        parts = times + 1 if times > 1 else 1
+        bounds += [(doc_id, -(1 << 63) + i * ((1 << 64) // parts)) for i in range(parts)]
+    null_parts = max(1, min(wanted, wanted * (n - some) // max(n, 1)))
+    null_run = F.floor(F.shiftrightunsigned(F.col("tie").bitwiseXOR(F.lit(-(1 << 63)).cast("bigint")), 32) * F.lit(null_parts) / F.lit(2.0**32)) - null_parts
+    # A binary search among the bounds: the number of those at or below (doc_id, tie).
+    span = 1 << max(0, len(bounds).bit_length() - 1)
+    at = F.lit(0)
+    if bounds:
+        ids, ties = (_array((b[i] for b in bounds), "bigint") for i in (0, 1))
+
+        def step(pos: Column, size: Column) -> Column:
+            b_id, b_tie = F.get(ids, pos + size - 1), F.get(ties, pos + size - 1)
+            below = (b_id < F.col("doc_id")) | ((b_id == F.col("doc_id")) & (b_tie <= F.col("tie")))
+            return F.when(below, pos + size).otherwise(pos)
+
+        at = F.aggregate(_array((span >> i for i in range(span.bit_length())), "int"), F.lit(0), step)
+    return docs.withColumn("run", F.when(F.col("doc_id").isNull(), null_run).otherwise(at).cast("bigint"))
 
 
 def _following(runs: DataFrame) -> DataFrame:
@@ -95,10 +129,10 @@ def edited_pairs(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     The edited text: the last floor(n_chars / 4) code points replaced by the first as many, or all, of
     the next document's (ascending doc_id, after the last the first).  Defined cases: a null text is
     empty; an empty or blank text's samples are all 0, so such texts are alike; equal doc_ids are
-    ordered by text; null doc_ids come first; an only document follows itself.
+    ordered by a hash of the text; null doc_ids come first; an only document follows itself.
     """
     docs = _runs(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
-    order = Window.partitionBy("run").orderBy("doc_id", "text")
+    order = Window.partitionBy("run").orderBy("doc_id", "tie", "text")
     follows = write_table(_following(docs.select("run").distinct()), "sampling-runs")
     # A run's first text, from the same shuffle as the rows themselves.
     texts = docs.withColumn("rank", F.row_number().over(order)).where("rank = 1").select("run", F.col("text").alias("head"))
