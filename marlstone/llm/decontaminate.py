@@ -2,9 +2,10 @@
 
 A benchmark item's windows are its runs of ``size`` words (an item of fewer words is one window).
 The distinct windows, keyed by hash, form a table whose bytes are measured: within ``BROADCAST``
-it is broadcast and documents are scanned where they lie; beyond, the same join shuffles.  Each
-hit is verified word for word.  Documents are read once, and nothing but hits and one narrow row
-a document is shuffled; a passage that very many documents hold costs each of them its own hits.
+it is broadcast and documents are scanned where they lie; beyond, narrow rows (document, position,
+hash) are joined by a shuffle, and the documents that have candidates are read once more.  Each hit
+is verified word for word.  Within the bound documents are read once, and nothing but hits and one
+narrow row a document is shuffled; a passage that very many documents hold costs each its own hits.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii
+from .common import lower_ascii, write_table
 
 SIZE = 10
 #: Bytes of windows and item lists up to which the set is broadcast.
@@ -39,27 +40,28 @@ def item_windows(items: DataFrame, size: int = SIZE) -> DataFrame:
     return grouped.select(F.xxhash64("window").alias("h"), F.size("window").alias("k"), "window", "owners")
 
 
-def contamination(docs: DataFrame, items: DataFrame, size: int = SIZE) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, size: int = SIZE, broadcast: int = BROADCAST) -> DataFrame:
     """For each row of ``docs``: doc_id, __text_hash, n_words, spans, n_hit, items.
 
     ``spans`` are the hit windows as array<struct<start,end>> in words, sorted; ``items`` the sorted
-    string ids of the items that own them.  Defined cases: null texts have no words; equal rows get
+    string ids of the items that own them.  Windows of over ``broadcast`` bytes are joined by a shuffle.  Defined cases: null texts have no words; equal rows get
     equal results, one each; without items nothing is hit.
     """
-    windows = item_windows(items, size).cache()
+    windows = write_table(item_windows(items, size), "windows")
     sizes = sorted(r[0] for r in windows.select("k").distinct().collect())  # size of them at most
     weight = windows.agg(F.sum(F.length(F.array_join("window", " ")) + 24 * F.size("window") + 40 * F.size("owners") + 64)).first()[0] or 0
     table = windows.select(F.col("h").alias("__h"), F.col("k").alias("__k"), "window", "owners")
-    table = F.broadcast(table) if weight <= BROADCAST else table
+    wide = weight <= broadcast
 
     base = docs.select(F.col("doc_id"), F.xxhash64(F.col("text")).alias("__text_hash"), _words(F.col("text")).alias("words"))
     n = F.size("words")
-    # Position 0 stands for the document itself; then the windows' hashes, one size after another.
-    hashes = [F.array(F.lit(None).cast("bigint"))]
+    # Position 0 stands for the document itself (its hash only spreads it, and meets nothing); then the
+    # windows' hashes, one size after another.
+    hashes = [F.array(F.lit(None).cast("bigint") if wide else F.xxhash64("doc_id", "__text_hash"))]
     for k in sizes:
         runs = _window_hashes(n, k)
         hashes.append(F.when(n >= k, runs).otherwise(F.array().cast("array<bigint>")))
-    rows = base.select("doc_id", "__text_hash", "words", n.alias("n"), F.posexplode(F.concat(*hashes)).alias("p", "h"))
+    rows = base.select("doc_id", "__text_hash", *(["words"] if wide else []), n.alias("n"), F.posexplode(F.concat(*hashes)).alias("p", "h"))
     n = F.col("n")
     start, length, first = F.lit(None).cast("int"), F.lit(None).cast("int"), F.lit(1)
     for k in sizes:
@@ -67,8 +69,16 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = SIZE) -> DataFr
         inside = (F.col("p") >= first) & (F.col("p") < first + count)
         start, length = F.when(inside, F.col("p") - first).otherwise(start), F.when(inside, F.lit(k)).otherwise(length)
         first = first + count
-    met = rows.join(table, (F.col("h") == F.col("__h")), "left").where("p = 0 or __h is not null")
-    met = met.select("doc_id", "__text_hash", "n", "p", start.alias("s"), length.alias("k"), "__k", "words", "window", "owners")
+    table = F.broadcast(table) if wide else table.hint("merge")
+    met = rows.join(table, (F.col("h") == F.col("__h")) & (F.col("p") > 0), "left").where("p = 0 or __h is not null")
+    met = met.select("doc_id", "__text_hash", *(["words"] if wide else []), "n", "p", start.alias("s"), length.alias("k"), "__k", "window", "owners")
+    if not wide:
+        # The words of documents that have candidates, from a second look at these alone.
+        met = write_table(met, "candidates")
+        some = met.where("p > 0").select(F.col("doc_id").alias("d"), F.col("__text_hash").alias("t")).distinct()
+        named = base.join(some, base["doc_id"].eqNullSafe(some["d"]) & (base["__text_hash"] == some["t"]), "left_semi").dropDuplicates(["doc_id", "__text_hash"])
+        named = named.select(F.col("doc_id").alias("d"), F.col("__text_hash").alias("t"), "words")
+        met = met.join(named, met["doc_id"].eqNullSafe(named["d"]) & (met["__text_hash"] == named["t"]), "left").drop("d", "t")
     hit = (F.col("k") == F.col("__k")) & (F.slice("words", F.col("s") + 1, F.col("k")) == F.col("window"))
     met = met.select(
         "doc_id", "__text_hash", "n", (F.col("p") == 0).alias("self"),
