@@ -74,6 +74,22 @@ def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def constant_array(values, kind: str) -> Column:
+    """A constant array, however long: one literal, which the optimizer folds."""
+    text = ",".join(map(repr, values))
+    return F.split(F.lit(text), ",").cast(f"array<{kind}>") if text else F.array().cast(f"array<{kind}>")
+
+
+def count_below(n: int, below) -> Column:
+    """How many of ``n`` sorted entries a row's value is not below, by a binary search in generated steps:
+    ``below(i)`` is whether entry ``i`` (a Column, from 0; null beyond the end) is at or below the value."""
+    if not n:
+        return F.lit(0)
+    span = 1 << (n.bit_length() - 1)
+    steps = constant_array((span >> i for i in range(span.bit_length())), "int")
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(below(at + step - 1), at + step).otherwise(at))
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z alone, as the contracts ask; other letters stay."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

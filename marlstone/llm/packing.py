@@ -15,20 +15,89 @@ counts of (task, length) and so need neither a global sort nor one task for a co
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import tidy, write_table
+from .common import constant_array, count_below, tidy, write_table
 
 CAPACITY = 2048
 SMALL = 8
 GROUPS = 64
 #: Columns generated at most; each intermediate programme is feasible, so a limit costs quality only.
 ROUNDS = 300
+#: Strings whose tokens a worker remembers, in each of two generations.
+MEMO = 300_000
+
+
+@lru_cache(maxsize=1)
+def _encoder(tokenizer_path: str) -> Callable[[str], bytes]:
+    """A function from text to its token ids as bytes, kept by a worker for its next task: what it remembers of
+    words is bounded by ``MEMO``."""
+    import re
+    from array import array
+
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokenizer_path)
+    find = re.compile(r"[^ \t\n\r\x0b\x0c]+").findall
+
+    class Memo(dict):
+        """Two generations: what is asked for again outlives the rest."""
+
+        def __init__(self, make) -> None:
+            self.make, self.old = make, {}
+
+        def __missing__(self, word: str) -> bytes:
+            if len(self) > MEMO:
+                self.old = dict(self)
+                self.clear()
+            out = self.old.get(word)
+            if out is None:
+                out = self.make(word)
+            self[word] = out
+            return out
+
+    def encode(text: str) -> bytes:
+        return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    # Of ASCII and the letters of Latin-1 alone, in lower case, a text's pre-tokens are found here as the
+    # tokenizer would find them, and each distinct one goes to the model, its bytes as printable characters.
+    added = [re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values()]
+    other = re.compile("|".join(["[^\\t\\n\\r -~À-ÖØ-öø-ÿ]", *added])).search
+    parts = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^\s0-9a-zß-öø-ÿ]+").findall
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in printable]
+    shown = {b: chr(256 + i) for i, b in enumerate(hidden)}
+    tokenize = tokenizer.model.tokenize
+
+    def part(text: str) -> bytes:
+        plain = text if text.isascii() else text.encode().decode("latin-1").translate(shown)
+        return array("I", [t.id for t in tokenize(plain)]).tobytes()
+
+    tokens, chunks = Memo(part), Memo(encode)
+
+    def plain(text: str) -> bytes:
+        return b"".join(map(tokens.__getitem__, parts(text.lower())))
+
+    # The short ways hold for tokenizers that agree with them on a sample of forms: blanks that belong to no
+    # token, and pre-tokens as above.  Others encode blank by blank, or whole texts.
+    blanks = ["Two words", " a  b ", "line\nnext\r\n\ttab, end.\n", "\x0b1 2\x0c 3", "it's  12 <|endoftext|> é ü"]
+    if any(b"".join(map(encode, find(x))) != encode(x) for x in blanks):
+        return encode
+    probes = ["Ab ABC.\n\tété, à (Über!?) straße; ÿÀÖØ: the nTh...", "It's WE'LL they're'd x'tc ''s 'S 12 3a4-5 a_b {c}=\"d\" e'f", "~`@#$%^&*|\\<> A1b2 éÉ'm"]
+    short = all(not other(p) and plain(p) == encode(p) for p in probes)
+
+    def whole(text: str) -> bytes:
+        if short and not other(text):
+            return plain(text)
+        return b"".join([plain(x) if short and not other(x) else chunks[x] for x in find(text)])
+
+    return whole
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
@@ -36,64 +105,22 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
     special tokens, then ``end_id``), cut into pieces of ``capacity``; ``ids`` are little-endian
     unsigned 32-bit numbers.  A null text is empty: ``end_id`` alone.
 
-    Blanks always separate tokens of this tokenizer, so texts are encoded blank by blank and each
-    distinct string between blanks once.
+    Where blanks always separate a tokenizer's tokens, texts are encoded blank by blank and each
+    distinct string between blanks once; a sample of texts decides.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import re
-        from array import array
-
         from pyspark import TaskContext
-        from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(tokenizer_path)
-        find = re.compile(r"[^ \t\n\r\x0b\x0c]+").findall
+        encode = _encoder(tokenizer_path)
         end = np.array([end_id], "<u4").tobytes()
         task = TaskContext.get().partitionId()
-
-        class Memo(dict):
-            def __init__(self, make) -> None:
-                self.make = make
-
-            def __missing__(self, word: str) -> bytes:
-                if len(self) > 250_000:
-                    self.clear()
-                out = self[word] = self.make(word)
-                return out
-
-        def encode(text: str) -> bytes:
-            return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-        # Letters of Latin-1 alone, then marks: the letters are one pre-token and go to the model as
-        # they would from the tokenizer, in lower case and with bytes as printable characters.
-        simple = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)").fullmatch
-        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        hidden = [b for b in range(256) if b not in printable]
-        shown = {b: chr(256 + i) for i, b in enumerate(hidden)}
-        tokenize = tokenizer.model.tokenize
-
-        def letters(word: str) -> bytes:
-            plain = word if word.isascii() else word.encode().decode("latin-1").translate(shown)
-            return array("I", [t.id for t in tokenize(plain)]).tobytes()
-
-        words, marks = Memo(letters), Memo(encode)
-
-        def chunk(text: str) -> bytes:
-            found = simple(text)
-            if not found:
-                return encode(text)
-            return words[found[1].lower()] + (marks[found[2]] if found[2] else b"")
-
-        # The short way holds for tokenizers that agree with it on a sample of forms.
-        probes = ["Ab", "ABC.", "été,", "à", "Über!?", "straße;", "ÿÀÖØ:", "the", "nTh..."]
-        memo = Memo(chunk if all(chunk(p) == encode(p) for p in probes) else encode)
         seen = np.zeros(capacity + 1, np.int64)
         names = ["doc_id", "piece", "start", "length", "ids", "task", "place"]
         for batch in batches:
             rows, size = [], 0
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                raw = b"".join(map(memo.__getitem__, find(text.as_py() or ""))) + end
+                raw = encode(text.as_py() or "") + end
                 for piece, at in enumerate(range(0, len(raw), 4 * capacity)):
                     ids = raw[at : at + 4 * capacity]
                     n = len(ids) // 4
@@ -256,22 +283,14 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
     offsets = counts.select(F.col("task").alias("t"), F.col("length").alias("l"), F.coalesce(before, F.lit(0)).alias("base"))
     histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n")).collect()}  # capacity rows at most
     places, _ = plan(histogram, capacity)
-    # One sorted key for (length, rank); ranks stay far below 2**48.
-    starts = (places[:, 0] << 48) + places[:, 1] if len(places) else np.zeros(0, np.int64)
-
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            length = batch.column(3).to_numpy().astype(np.int64)
-            rank = batch.column(5).to_numpy()
-            at = np.searchsorted(starts, (length << 48) + rank, side="right") - 1
-            found = places[at]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in range(5)), pa.array(found[:, 3] + rank - found[:, 1]), pa.array(found[:, 4])],
-                names=["doc_id", "piece", "start", "length", "ids", "sequence_id", "offset"],
-            )
-
     ranked = table.join(offsets, (table["task"] == offsets["t"]) & (table["length"] == offsets["l"]))
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids", (F.col("base") + F.col("place")).alias("rank"))
-    return ranked.mapInArrow(tidy(assign), "doc_id bigint, piece int, start bigint, length int, ids binary, sequence_id bigint, offset bigint")
+    # The last place at or before (length, rank), by binary search: ids stay where they are.
+    lengths, firsts, sequences, starts = (constant_array(places[:, i].tolist(), "bigint") for i in (0, 1, 3, 4))
+
+    def below(i: Column) -> Column:
+        return (F.get(lengths, i) < F.col("length")) | ((F.get(lengths, i) == F.col("length")) & (F.get(firsts, i) <= F.col("rank")))
+
+    ranked = ranked.withColumn("at", count_below(len(places), below) - 1)
+    sequence = F.get(sequences, F.col("at")) + F.col("rank") - F.get(firsts, F.col("at"))
+    return ranked.select("doc_id", "piece", "start", "length", "ids", sequence.alias("sequence_id"), F.get(starts, F.col("at")).alias("offset"))

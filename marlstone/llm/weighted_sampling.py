@@ -20,7 +20,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS, parallelism, write_table
+from .common import BLANKS, constant_array, count_below, parallelism, write_table
 
 SAMPLES = 64
 #: Samples taken in one pass over the terms; small enough for compiled code.
@@ -30,11 +30,6 @@ RUNS = 8
 _DIGITS = 4
 
 
-def _array(values, kind: str) -> Column:
-    """A constant array, however long: one literal, which the optimizer folds."""
-    return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")
-
-
 def _runs(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) with ``tie``, which orders equal doc_ids, and their run: equal for neighbours,
     ascending with (doc_id, tie), null doc_ids first.
@@ -47,7 +42,7 @@ def _runs(docs: DataFrame) -> DataFrame:
     docs = docs.withColumn("tie", F.xxhash64("text"))
     n, some = docs.agg(F.count("*"), F.count("doc_id")).first()
     steps = max(1, min(wanted, some))
-    shares = _array((i / steps for i in range(1, steps)), "double")
+    shares = constant_array((i / steps for i in range(1, steps)), "double")
     found = docs.agg(F.percentile_approx("doc_id", shares, F.lit(max(10_000, 8 * steps)))).first()[0] if steps > 1 else []
     bounds: list[tuple[int, int]] = []
     for doc_id, times in sorted(Counter(found).items()):
@@ -55,18 +50,12 @@ def _runs(docs: DataFrame) -> DataFrame:
         bounds += [(doc_id, -(1 << 63) + i * ((1 << 64) // parts)) for i in range(parts)]
     null_parts = max(1, min(wanted, wanted * (n - some) // max(n, 1)))
     null_run = F.floor(F.shiftrightunsigned(F.col("tie").bitwiseXOR(F.lit(-(1 << 63)).cast("bigint")), 32) * F.lit(null_parts) / F.lit(2.0**32)) - null_parts
-    # A binary search among the bounds: the number of those at or below (doc_id, tie).
-    span = 1 << max(0, len(bounds).bit_length() - 1)
-    at = F.lit(0)
-    if bounds:
-        ids, ties = (_array((b[i] for b in bounds), "bigint") for i in (0, 1))
-
-        def step(pos: Column, size: Column) -> Column:
-            b_id, b_tie = F.get(ids, pos + size - 1), F.get(ties, pos + size - 1)
-            below = (b_id < F.col("doc_id")) | ((b_id == F.col("doc_id")) & (b_tie <= F.col("tie")))
-            return F.when(below, pos + size).otherwise(pos)
-
-        at = F.aggregate(_array((span >> i for i in range(span.bit_length())), "int"), F.lit(0), step)
+    ids, ties = (constant_array((b[i] for b in bounds), "bigint") for i in (0, 1))
+
+    def below(i: Column) -> Column:
+        return (F.get(ids, i) < F.col("doc_id")) | ((F.get(ids, i) == F.col("doc_id")) & (F.get(ties, i) <= F.col("tie")))
+
+    at = count_below(len(bounds), below)
     return docs.withColumn("run", F.when(F.col("doc_id").isNull(), null_run).otherwise(at).cast("bigint"))
 
 

@@ -292,6 +292,11 @@ def test_packing(spark, odd):
             at += length
         assert at <= 2048
     assert pack(docs_of(spark, []), path).count() == 0
+    # A tokenizer whose tokens hold blanks: whole texts are encoded.
+    path = tokenizers.path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    out = pack(docs_of(spark, [(1, "Some words, in a sentence.\n\n  And more.")]), path).collect()
+    assert [bytes(r["ids"]) for r in out] == [np.array(tok.encode("Some words, in a sentence.\n\n  And more.", add_special_tokens=False).ids + [0], "<u4").tobytes()]
 
 
 def test_packing_plans_are_whole_and_tight():
