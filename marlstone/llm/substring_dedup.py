@@ -5,9 +5,11 @@ tree is only needed down to that depth, and its internal nodes there are the win
 more than once.  Suffixes are split into groups by a prefix of variable length, so that a group's
 tree fits in memory: a first pass counts suffixes by their first two words (in ``2**CELLS`` cells,
 a table of bounded size); cells that exceed a group's share are split further by the whole window.
-Within a group the tree's deepest nodes are found by sorting the path labels (64-bit hashes of the
-windows, besides the prefix that the group has in common); of each node's leaves all but those of
-the smallest doc_id are repeats.
+Within a group the nodes at the window's depth are found by sorting path labels, which are 64-bit
+hashes of the windows (besides the prefix that the group has in common): labels of single words
+would take several times the disk that a run may use.  So no tree is built deeper than the window,
+and a longer maximal repeat is the run of its windows.  Of each node's leaves all but those of the
+smallest doc_id are repeats.
 
 Each task first merges the suffixes that it holds itself, so a window sends on those of its smallest
 doc_id only, and the rest are marked where they are: a passage in a third of all documents costs a
@@ -33,6 +35,9 @@ CELLS = 14
 BLOCK = 2_000_000
 #: Bytes of texts that a task deals out at once.
 TEXTS = 48_000_000
+#: Suffixes in a group of prefixes and in a bucket of documents, at most but for a single huge one:
+#: tables that outgrow the session's partitions get more groups and buckets, not larger ones.
+GROUP, BUCKET = 4_000_000, 8_000_000
 _M1, _M2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
 
@@ -157,7 +162,20 @@ def _bucket(doc: np.ndarray, buckets: int) -> np.ndarray:
     return ((x >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def _narrow(docs: DataFrame) -> DataFrame:
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return docs.where("doc_id is not null and text is not null")
+
+
+def _layout(docs: DataFrame, window: int) -> tuple[list[tuple[int, int]], int, int]:
+    """(counts by prefix cell, groups, buckets)."""
+    n = parallelism(docs.sparkSession)
+    counts = [(r[0], r[1]) for r in _prefix_counts(_narrow(docs), window).collect()]  # 2**CELLS rows at most
+    total = sum(k for _, k in counts)
+    return counts, max(4 * n, -(-total // GROUP)), max(n, -(-total // BUCKET))
+
+
+def repeated_windows(docs: DataFrame, window: int = WINDOW, layout: tuple | None = None) -> DataFrame:
     """(bucket, n, blob): packed pairs (doc_id, word) of all places where a window of ``window`` words
     starts whose words also start in a document with a smaller doc_id; a document's pairs are in the
     bucket of its doc_id, in one or more rows.  :func:`_unpack_places` reads them.
@@ -165,11 +183,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     Rows of one doc_id are taken as one text's repeats: none is smaller than the other.  Rows with a
     null doc_id neither have nor cause repeats.
     """
-    spark = docs.sparkSession
-    buckets = parallelism(spark)
-    groups = 4 * buckets
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    counts = [(r[0], r[1]) for r in _prefix_counts(docs, window).collect()]  # 2**CELLS rows at most
+    docs = _narrow(docs)
+    counts, groups, buckets = layout or _layout(docs, window)
     first, span = _plan(counts, groups)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,7 +314,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     null text has no words; rows with a null doc_id keep all; equal rows get equal results.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    buckets = parallelism(docs.sparkSession)
+    layout = _layout(docs, window)
+    buckets = layout[2]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows by bucket of their doc_id, many to a compressed blob."""
@@ -369,7 +385,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                         types = (pa.int64(), pa.int64(), pa.int64(), pa.string())
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["doc_id", "n_words", "n_removed", "kept"])
 
-    marks = write_table(repeated_windows(docs, window), "substring-places")
+    marks = write_table(repeated_windows(docs, window, layout), "substring-places")
     texts = docs.mapInArrow(tidy(deal), "bucket int, n bigint, blob binary")
     rows = marks.unionByName(texts).repartition(buckets, "bucket").sortWithinPartitions("bucket", F.col("n").desc())
     return rows.mapInArrow(tidy(apply), "doc_id bigint, n_words bigint, n_removed bigint, kept string")

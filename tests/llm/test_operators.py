@@ -176,7 +176,7 @@ def test_components_of_long_chains(spark):
     assert len({got[i] for i in ids[:151]}) == 1 and len({got[i] for i in ids[151:]}) == 1 and got[ids[0]] != got[ids[-1]] and got[7] == 7
 
 
-def test_substring_dedup_against_brute_force(spark, odd):
+def test_substring_dedup_against_brute_force(spark, odd, monkeypatch):
     from marlstone.llm.substring_dedup import remove_repeats
 
     rng = random.Random(9)
@@ -195,6 +195,12 @@ def test_substring_dedup_against_brute_force(spark, odd):
         want.append((i, len(w), len(gone), " ".join(x for p, x in enumerate(w) if p not in gone)))
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
     assert remove_repeats(docs_of(spark, [])).count() == 0
+    # More groups and buckets than partitions give the same.
+    from marlstone.llm import substring_dedup
+
+    monkeypatch.setattr(substring_dedup, "GROUP", 500)
+    monkeypatch.setattr(substring_dedup, "BUCKET", 3000)
+    assert sorted(map(repr, map(tuple, remove_repeats(docs_of(spark, rows)).collect()))) == sorted(map(repr, want))
 
 
 def test_substring_plan_splits_crowded_prefixes():
