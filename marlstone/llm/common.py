@@ -70,6 +70,28 @@ def tidy(function):
     return run
 
 
+#: A key held by more than one in ``HOT x partitions`` rows is joined by broadcast.
+HOT = 8
+
+
+def join_split(rows: DataFrame, by: str, table: DataFrame, value: str, count: str, total: int, spread: Column) -> DataFrame:
+    """``rows`` left-joined with ``table`` where ``by`` equals its ``value`` (unique); ``count`` says how many of
+    the ``total`` rows hold it.
+
+    The values held by more than their share, at most ``HOT x partitions``, are broadcast; rows that these, or
+    a null, settle are spread by ``spread``, so no key is hot in the shuffle that joins the others.
+    """
+    limit = max(2, total // (HOT * parallelism(rows.sparkSession)))
+    others = [c for c in table.columns if c not in (value, count)]
+    hot = table.where(F.col(count) > limit).select(F.col(value).alias("__hot"), *(F.col(c).alias(f"__hot_{c}") for c in others))
+    cold = table.where(F.col(count) <= limit).select(F.concat(F.lit("="), F.col(value)).alias("__cold"), *(F.col(c).alias(f"__cold_{c}") for c in others))
+    out = rows.join(F.broadcast(hot), F.col(by) == F.col("__hot"), "left")
+    wanted = F.col("__hot").isNull() & F.col(by).isNotNull()
+    key = F.when(wanted, F.concat(F.lit("="), F.col(by))).otherwise(F.concat(F.lit("#"), F.pmod(spread, F.lit(4096)).cast("string")))
+    out = out.withColumn("__key", key).join(cold, F.col("__key") == F.col("__cold"), "left")
+    return out.select(*rows.columns, *(F.coalesce(f"__hot_{c}", f"__cold_{c}").alias(c) for c in others))
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

@@ -1,13 +1,15 @@
 """WARC archives packaged in ZIP: a writer, and a reader that fetches records by range.
 
-An archive is a ZIP whose members are stored, not deflated: ``archive/data.warc.gz`` (a gzip member
-a record) and ``indexes/index.cdx`` (offset and length of each record there).  The reader takes the
-end of the file, the central directory (and the ZIP64 records where sizes or counts need them), the
-index's bytes, and then a record's bytes only: nothing is extracted.
+An archive is a ZIP that holds WARC files (``archive/*.warc`` or ``.warc.gz``, a gzip member a
+record) as stored members and, beside them, indexes (``indexes/*.cdx``, ``.cdxj``, either may be
+gzipped): lines ``key timestamp {"filename": ..., "offset": ..., "length": ...}``.  The reader takes
+the end of the file, the central directory (and the ZIP64 records where sizes or counts need them),
+the indexes, and then each record's bytes: nothing is extracted.  Where the indexes don't cover a
+WARC member to its last byte, the member is walked record by record instead, so none is passed over.
 
 Files are opened with ``pyarrow.fs`` by URI, so any store that it knows will do.  Each task writes
 archives of its own under new names and reports them; only those of tasks that ended well are in the
-manifest, so tasks may be lost and run again.
+manifest, so tasks may be lost and run again (what a lost task wrote stays in the folder, unread).
 """
 
 from __future__ import annotations
@@ -15,14 +17,17 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import json
+import re
 import struct
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, parallelism, tidy, write_table
+from .common import join_split, new_path, parallelism, tidy, write_table
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
 #: Bytes of records after which a task starts another archive.
@@ -36,8 +41,6 @@ def digest(payload: bytes) -> str:
 
 def zip_stored(members: list[tuple[str, bytes]], zip64: bool = False) -> bytes:
     """A ZIP of stored members; with ``zip64``, or where a number needs it, ZIP64 records are written."""
-    import zlib
-
     out, central = bytearray(), bytearray()
     for name, data in members:
         raw, crc, size, at = name.encode(), zlib.crc32(data), len(data), len(out)
@@ -59,13 +62,19 @@ def zip_stored(members: list[tuple[str, bytes]], zip64: bool = False) -> bytes:
 
 
 class StoredZip:
-    """Members of a ZIP by range: ``fetch(offset, size)`` reads bytes of a file of ``size`` bytes."""
+    """Members of a ZIP by range: ``fetch(offset, size)`` reads bytes of a file of ``size`` bytes.
+
+    ``members`` are the stored ones, which ranges are read of; ``deflated`` can be read as wholes alone.
+    """
 
     def __init__(self, fetch, size: int) -> None:
         self.fetch = fetch
         tail_at = max(0, size - _M16 - 22 - 20)
         tail = fetch(tail_at, size - tail_at)
+        # The record whose comment ends the file: a comment may hold the signature too.
         end = tail.rfind(b"PK\x05\x06")
+        while end >= 0 and (end + 22 > len(tail) or end + 22 + struct.unpack_from("<H", tail, end + 20)[0] != len(tail)):
+            end = tail.rfind(b"PK\x05\x06", 0, end)
         if end < 0:
             raise ValueError("not a ZIP file: no end of central directory")
         _, _, _, _, n, length, at, _ = struct.unpack_from("<4sHHHHIIH", tail, end)
@@ -76,6 +85,7 @@ class StoredZip:
                 raise ValueError("ZIP64 end record is missing")
             n, length, at = struct.unpack_from("<Q8xQQ", record, 24)[0], *struct.unpack_from("<QQ", record, 40)
         self.members: dict[str, tuple[int, int]] = {}  # name -> (local header, size)
+        self.deflated: dict[str, tuple[int, int]] = {}
         raw, p = fetch(at, length), 0
         for _ in range(n):
             if raw[p : p + 4] != b"PK\x01\x02":
@@ -98,11 +108,13 @@ class StoredZip:
                 q += 4 + k
             if method == 0:
                 self.members[name] = (header, plain)
+            elif method == 8:
+                self.deflated[name] = (header, packed)
             p = stop + n_note
 
     def start(self, name: str) -> int:
         """Where the member's bytes start; local headers may differ in length from central ones."""
-        header = self.members[name][0]
+        header = (self.members.get(name) or self.deflated[name])[0]
         local = self.fetch(header, 30)
         if local[:4] != b"PK\x03\x04":
             raise ValueError(f"{name}: local header is missing")
@@ -110,6 +122,10 @@ class StoredZip:
         return header + 30 + n_name + n_extra
 
     def read(self, name: str, at: int = 0, size: int | None = None) -> bytes:
+        if name in self.deflated:
+            if at or size is not None:
+                raise ValueError(f"{name}: is deflated, no ranges of it can be read")
+            return zlib.decompress(self.fetch(self.start(name), self.deflated[name][1]), -15)
         whole = self.members[name][1]
         size = whole - at if size is None else size
         if at < 0 or size < 0 or at + size > whole:
@@ -117,6 +133,72 @@ class StoredZip:
         return self.fetch(self.start(name) + at, size)
 
 
+def _walk(read, size: int) -> Iterator[tuple[int, bytes]]:
+    """(place, record) of a WARC file, plain or of gzip members, without an index; ``read(at, n)`` reads it."""
+    step, at = 1 << 20, 0
+    while at < size:
+        if read(at, min(2, size - at)) == b"\x1f\x8b":
+            unpack, parts, p = zlib.decompressobj(31), [], at
+            while not unpack.eof:
+                if p >= size:
+                    raise ValueError(f"record at {at} is cut off")
+                data = read(p, min(step, size - p))
+                parts.append(unpack.decompress(data))
+                p += len(data)
+            yield at, b"".join(parts)
+            at = p - len(unpack.unused_data)
+            continue
+        head, lead = b"", 0
+        while head.find(b"\r\n\r\n", lead) < 0:
+            if at + len(head) >= size:
+                if lead == len(head):
+                    return
+                raise ValueError(f"record at {at} is cut off")
+            head += read(at + len(head), min(4096, size - at - len(head)))
+            lead = len(head) - len(head.lstrip(b"\r\n"))
+        start = head.index(b"\r\n\r\n", lead) + 4
+        found = re.search(rb"(?im)^content-length:\s*(\d+)", head[:start])
+        if not found or at + start + int(found[1]) > size:
+            raise ValueError(f"record at {at} is cut off")
+        n = start - lead + int(found[1])
+        yield at + lead, read(at + lead, n)
+        at += lead + n
+
+
+def records(archive: StoredZip) -> Iterator[tuple[str, int, bytes]]:
+    """(member, place in it, record) of all WARC members, by the indexes where they cover a member."""
+    names = [*archive.members, *archive.deflated]
+    wanted = [x for x in names if re.search(r"(^|/)archive/.+\.warc(\.gz)?$", x)] or [x for x in names if re.search(r"\.warc(\.gz)?$", x)]
+    places: dict[str, dict[int, int]] = {}
+    for name in names:
+        if not re.search(r"(^|/)indexes/.+\.cdxj?(\.gz)?$", name):
+            continue
+        raw = archive.read(name)
+        while raw[:2] == b"\x1f\x8b":
+            raw = gzip.decompress(raw)
+        for line in raw.decode("utf-8", "replace").splitlines():
+            at = line.find("{")
+            if at < 0:
+                continue
+            entry = json.loads(line[at:])
+            if {"filename", "offset", "length"} <= entry.keys():
+                places.setdefault(entry["filename"].rpartition("/")[2], {})[int(entry["offset"])] = int(entry["length"])
+    for name in wanted:
+        if name in archive.deflated:
+            raise ValueError(f"{name}: is deflated, its records can't be read by range")
+        base, size = archive.start(name), archive.members[name][1]
+        found, end = sorted(places.get(name.rpartition("/")[2], {}).items()), 0
+        for at, n in found:
+            end = at + n if at == end else -1
+        if end == size:
+            for at, n in found:
+                raw = archive.fetch(base + at, n)
+                yield name, at, gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
+        else:
+            for at, raw in _walk(lambda p, n, base=base: archive.fetch(base + p, n), size):
+                yield name, at, raw
+
+
 def record(kind: str, page_id: int, url: str, payload: bytes, refers_to: int | None) -> bytes:
     """A WARC record; a revisit has the HTTP head, with the full payload's length, and no payload."""
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
@@ -137,6 +219,8 @@ def parse(raw: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
     fields = lambda x: {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in x.decode("utf-8", "surrogateescape").split("\r\n")[1:])}
     warc = fields(head)
     block = rest[: int(warc["content-length"])]
+    if not block.startswith(b"HTTP/"):
+        return warc, {}, block
     http, _, payload = block.partition(b"\r\n\r\n")
     return warc, fields(http), payload
 
@@ -161,8 +245,10 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataF
     pages = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), payload.alias("payload"))
     pages = pages.withColumn("sha", F.sha1("payload"))
     chosen = pages.where(F.length("payload") >= least_bytes).groupBy(F.col("sha").alias("s")).agg(F.max("page_id").alias("largest"), F.count("*").alias("n")).where("n > 1")
-    chosen = write_table(chosen.select("s", "largest"), "warc-repeats")
-    rows = pages.join(chosen, (pages["sha"] == chosen["s"]) & (F.length("payload") >= least_bytes), "left").select("page_id", "url", "payload", "largest")
+    chosen = write_table(chosen, "warc-repeats")
+    pages = pages.withColumn("sha", F.when(F.length("payload") >= least_bytes, F.col("sha")))
+    total = chosen.agg(F.sum("n")).first()[0] or 0
+    rows = join_split(pages, "sha", chosen, "s", "n", total, F.xxhash64("url", "page_id")).select("page_id", "url", "payload", "largest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
@@ -184,7 +270,9 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataF
                 first = largest is None or largest == page_id
                 body = gzip.compress(record("response" if first else "revisit", "" if page_id is None else page_id, url.as_py(), payload.as_py(), None if first else largest), 1)
                 data.append(body)
-                index.append(f"{'' if page_id is None else page_id} {at} {len(body)}")
+                url = url.as_py().replace("\r", "%0D").replace("\n", "%0A")
+                entry = {"url": url, "filename": DATA.rpartition("/")[2], "offset": str(at), "length": str(len(body))}
+                index.append(f"{url.replace(' ', '%20')} 19700101000000 {json.dumps(entry)}")
                 at += len(body)
                 if at >= ARCHIVE_BYTES:
                     yield close(data, index)
@@ -196,32 +284,39 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataF
 
 
 def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
-    """(page_id, url, record_type, refers_to, payload_bytes, payload_digest, payload, path, at): every
-    record of the archives of ``manifest`` (path), by its index.  ``payload_bytes`` and
-    ``payload_digest`` are of the full payload; a response's are computed anew and must agree with its
-    fields; ``payload`` is null for revisits, and without ``payloads``."""
+    """(page_id, url, record_type, refers_to, payload_bytes, payload_digest, payload, record_id, refers_to_id, path,
+    member, at): every record of the archives of ``manifest`` (path).
+
+    ``payload_bytes`` and ``payload_digest`` are of the full payload; a response's are computed, and must agree
+    with its SHA-1 field if it has one; a revisit's are what its fields say.  ``payload`` is null for revisits,
+    and without ``payloads``.  page_id and refers_to are null for records that this writer didn't name;
+    record_id and refers_to_id are the records' own names.  A damaged record raises.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload", "path", "at"]
-        types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string(), pa.int64()]
-        number = lambda x: int(x) if x else None
+        names = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload", "record_id", "refers_to_id", "path", "member", "at"]
+        types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64()]
+        mine = re.compile(r"<urn:page:(-?\d+)>").fullmatch
+        number = lambda x: int(found[1]) if x and (found := mine(x)) else None
+        whole = lambda x: x.encode("utf-8", "surrogateescape").decode("utf-8", "replace") if x is not None else None
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 store, at = _open(path)
                 with store.open_input_file(at) as f:
                     archive = StoredZip(lambda o, n, f=f: f.read_at(n, o), f.size())
-                    base = archive.start(DATA)
                     rows, size = [], 0
-                    for line in archive.read(INDEX).decode().split("\n"):
-                        _, o, n = line.split(" ")
-                        warc, http, payload = parse(gzip.decompress(archive.fetch(base + int(o), int(n))))
-                        kind = warc["warc-type"]
-                        total, sha = int(http["content-length"]), warc["warc-payload-digest"].removeprefix("sha1:")
-                        if kind == "response" and (total != len(payload) or sha != digest(payload)):
-                            raise ValueError(f"{path}: record at {o} is damaged")
-                        urn = lambda k, w=warc: number(w.get(k, "").removeprefix("<urn:page:").removesuffix(">"))
-                        url = warc["warc-target-uri"].encode("utf-8", "surrogateescape").decode("utf-8", "replace")
-                        rows.append((urn("warc-record-id"), url, kind, urn("warc-refers-to"), total, sha, payload if payloads and kind == "response" else None, path, int(o)))
+                    for member, o, raw in records(archive):
+                        warc, http, payload = parse(raw)
+                        kind, told = warc.get("warc-type"), warc.get("warc-payload-digest", "")
+                        if kind == "revisit":
+                            total = int(http["content-length"]) if "content-length" in http else None
+                            sha = told.removeprefix("sha1:") or None
+                        else:
+                            total, sha = len(payload), digest(payload)
+                            if kind == "response" and told.startswith("sha1:") and "transfer-encoding" not in http and told[5:].upper() != sha:
+                                raise ValueError(f"{path}: {member}: record at {o} is damaged")
+                        ids = [whole(warc.get(k)) for k in ("warc-record-id", "warc-refers-to")]
+                        rows.append((number(ids[0]), whole(warc.get("warc-target-uri")), kind, number(ids[1]), total, sha, payload if payloads and kind != "revisit" else None, *ids, path, member, o))
                         size += len(payload) if payloads else 200
                         if size > 8_000_000:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
@@ -229,7 +324,7 @@ def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
                     if rows:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-    schema = "page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, payload binary, path string, at bigint"
+    schema = "page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, payload binary, record_id string, refers_to_id string, path string, member string, at bigint"
     return manifest.select("path").repartition(parallelism(manifest.sparkSession)).mapInArrow(tidy(run), schema)
 
 

@@ -471,6 +471,57 @@ def test_warc_round_trip(spark):
     assert read_archives(write_archives(pages.limit(0), archive_folder(spark))).count() == 0
 
 
+def test_warc_archives_of_others(spark, tmp_path):
+    """Members and indexes found by listing: gzipped and deflated indexes, none, incomplete ones, plain WARC files,
+    names of other kinds; deflated archives and damaged records raise."""
+    import gzip
+    import io
+    import json
+    import zipfile
+
+    from marlstone.llm.warc_zip import read_archives
+
+    def warc(kind, name, body, more=""):
+        block = b"HTTP/1.1 200 OK\r\nX: y\r\n\r\n" + body if kind != "warcinfo" else body
+        head = f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:uuid:{name}>\r\nWARC-Target-URI: http://x/{name}\r\n{more}Content-Length: {len(block)}\r\n\r\n"
+        return head.encode() + block + b"\r\n\r\n"
+
+    made = [warc("warcinfo", "i", b"software: some"), warc("response", "a", b"<p>one</p>" * 9), warc("revisit", "b", b"", "WARC-Refers-To: <urn:uuid:a>\r\nWARC-Payload-Digest: sha1:ABC\r\n"), warc("response", "c", b"\r\n\r\n" * 400_000)]
+    packed = [gzip.compress(x) for x in made]
+    places = [(sum(map(len, packed[:k])), len(x)) for k, x in enumerate(packed)]
+    line = lambda at, n: f"com,x)/ 2020 {json.dumps(dict(url='u', filename='rec-1.warc.gz', offset=str(at), length=n))}"
+    index = "\n".join(line(*p) for p in places).encode()
+    part = line(*places[1]).encode()
+    files = {
+        "gz": [("archive/rec-1.warc.gz", b"".join(packed), 0), ("indexes/index.cdx.gz", gzip.compress(index), 0), ("datapackage.json", b"{}", 8)],
+        "packed": [("indexes/index.cdxj", index, 8), ("archive/rec-1.warc.gz", b"".join(packed), 0)],
+        "none": [("archive/rec-1.warc.gz", b"".join(packed), 0)],
+        "part": [("archive/rec-1.warc.gz", b"".join(packed), 0), ("indexes/index.cdx", part, 0)],
+        "plain": [("archive/rec-1.warc", b"".join(made), 0)],
+        "two": [("archive/rec-1.warc.gz", b"".join(packed[:2]), 0), ("archive/more/rec-2.warc", b"".join(made[2:]), 0)],
+        "deflated": [("archive/rec-1.warc.gz", b"".join(packed), 8)],
+        "damaged": [("archive/rec-1.warc", warc("response", "d", b"x", "WARC-Payload-Digest: sha1:" + "A" * 32 + "\r\n"), 0)],
+    }
+    for name, members in files.items():
+        raw = io.BytesIO()
+        with zipfile.ZipFile(raw, "w") as z:
+            for at, data, method in members:
+                z.writestr(zipfile.ZipInfo(at), data, method)
+            z.comment = b"holds PK\x05\x06 and 20 bytes that are no directory"
+        path = tmp_path / f"{name}.zip"
+        path.write_bytes(raw.getvalue())
+        out = read_archives(spark.createDataFrame([(f"file://{path}",)], "path string"))
+        if name in ("deflated", "damaged"):
+            with pytest.raises(Exception, match=f"is {name}"):
+                out.collect()
+            continue
+        rows = {r["record_id"]: r for r in out.collect()}
+        assert [rows[f"<urn:uuid:{k}>"]["record_type"] for k in "iabc"] == ["warcinfo", "response", "revisit", "response"] and len(rows) == 4
+        assert bytes(rows["<urn:uuid:a>"]["payload"]) == b"<p>one</p>" * 9 and rows["<urn:uuid:c>"]["payload_bytes"] == 1_600_000
+        b = rows["<urn:uuid:b>"]
+        assert b["refers_to_id"] == "<urn:uuid:a>" and b["payload"] is None and b["payload_digest"] == "ABC" and b["page_id"] is None and b["url"] == "http://x/b"
+
+
 def test_zip_directories():
     import io
     import zipfile
@@ -498,7 +549,9 @@ def test_zip_directories():
         z.writestr(zipfile.ZipInfo("packed"), b"1" * 100, zipfile.ZIP_DEFLATED)
     raw = made.getvalue()
     z = StoredZip(lambda at, n: raw[at : at + n], len(raw))
-    assert list(z.members) == ["stored"] and z.read("stored") == b"123"
+    assert list(z.members) == ["stored"] and z.read("stored") == b"123" and z.read("packed") == b"1" * 100
+    with pytest.raises(ValueError, match="is deflated"):
+        z.read("packed", 0, 5)
     with pytest.raises(ValueError, match="not a ZIP"):
         StoredZip(lambda at, n: b"x" * n, 100)
 
