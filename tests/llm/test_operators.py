@@ -348,6 +348,19 @@ def test_toxicity_learns_and_locates(spark):
         if y and got[i]["offending"]:
             worst = got[i]["offending"][0]
             assert re.search("scoundrel|rotte", rows[i][1][worst["start"] : worst["end"]])
+    # Training in executors is the same as in memory.
+    known = {i: t for i, t in rows}
+    mine, plain = train(docs, table), fit([(known[i], y) for i, y in sorted({r["doc_id"]: r["toxic"] for r in table.where("doc_id is not null and toxic is not null").collect()}.items())])
+    assert mine.weights.keys() == plain.weights.keys() and plain.weights and abs(mine.bias - plain.bias) < 1e-6
+    assert all(abs(mine.weights[k] - v) < 1e-6 for k, v in plain.weights.items())
+    # Noisy-or of sentence scores, by hand.
+    squash = lambda z: 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+    from marlstone.llm.toxicity import _features
+
+    for i, t in rows[:40]:
+        p = [squash(mine.bias + sum(mine.weights.get(x, 0.0) for w in set(x.split()) for x in _features((w,)))) for x in t.lower().split(".") if x.strip()]
+        assert abs(got[i]["score"] - (1 - math.prod(1 - min(x, 1 - 1e-9) for x in p))) < 1e-9
+    assert train(docs, table.limit(0)).weights == {} and train(docs, table.withColumn("toxic", F.lit(0))).weights == {}
     assert score(docs.limit(0), fit([])).count() == 0 and fit([("a", 1)] * 5).weights == {}
 
 
