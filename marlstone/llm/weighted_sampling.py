@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -83,22 +84,23 @@ def _value(first: Column, second: Column, weight: Column) -> Column:
     return F.ln(c) - r * (F.floor(weight / r + b).cast("double") - b + 1.0)
 
 
-def signatures(words: DataFrame, keys: list[str], weights: dict[str, str], samples: int = SAMPLES) -> DataFrame:
+def signatures(words: DataFrame, keys: list[str], weights: dict[str, str], samples: int = SAMPLES, facts: Sequence[str] = ()) -> DataFrame:
     """For each group of ``keys`` an array of ``samples`` codes for each of ``weights``.
 
     ``words`` has a row for each term of a group: ``term`` (its hash, bigint) and weight columns
     (null or 0: absent).  ``weights``: name of the signature -> weight column.
+    ``facts``: further columns, of which a group's greatest value is kept.
     """
     passes = math.ceil(samples / PASS)
-    wide = words.select(*keys, "term", *(F.when(F.col(w) > 0, F.ln(w)).alias(f"ln_{name}") for name, w in weights.items()), F.explode(F.sequence(F.lit(0), F.lit(passes - 1))).alias("pass"))
+    wide = words.select(*keys, "term", *facts, *(F.when(F.col(w) > 0, F.ln(w)).alias(f"ln_{name}") for name, w in weights.items()), F.explode(F.sequence(F.lit(0), F.lit(passes - 1))).alias("pass"))
     wide = wide.select("*", *(F.xxhash64("term", "pass", F.lit(j)).alias(f"x{j}") for j in range(PASS)))
     wide = wide.select("*", *(F.xxhash64(f"x{j}").alias(f"y{j}") for j in range(PASS)))
     least = [F.min(_value(F.col(f"x{j}"), F.col(f"y{j}"), F.col(f"ln_{name}"))).alias(f"{name}_{j}") for name in weights for j in range(PASS)]
-    part = wide.groupBy(*keys, "pass").agg(*least)
+    part = wide.groupBy(*keys, "pass").agg(*least, *(F.max(x).alias(x) for x in facts))
     code = lambda c: F.coalesce(F.xxhash64(c).bitwiseAND(F.lit((1 << 4 * _DIGITS) - 1)), F.lit(0)).cast("int")
-    part = part.select(*keys, "pass", *(F.array(*(F.when(F.col(f"{name}_{j}").isNull(), 0).otherwise(code(f"{name}_{j}")) for j in range(PASS))).alias(name) for name in weights))
-    whole = part.groupBy(*keys).agg(*(F.sort_array(F.collect_list(F.struct("pass", F.col(name).alias("codes")))).alias(name) for name in weights))
-    return whole.select(*keys, *(F.slice(F.flatten(F.transform(name, lambda s: s["codes"])), 1, samples).alias(name) for name in weights))
+    part = part.select(*keys, "pass", *facts, *(F.array(*(F.when(F.col(f"{name}_{j}").isNull(), 0).otherwise(code(f"{name}_{j}")) for j in range(PASS))).alias(name) for name in weights))
+    whole = part.groupBy(*keys).agg(*(F.sort_array(F.collect_list(F.struct("pass", F.col(name).alias("codes")))).alias(name) for name in weights), *(F.max(x).alias(x) for x in facts))
+    return whole.select(*keys, *facts, *(F.slice(F.flatten(F.transform(name, lambda s: s["codes"])), 1, samples).alias(name) for name in weights))
 
 
 def to_text(codes: Column) -> Column:
@@ -134,18 +136,24 @@ def edited_pairs(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     kept = F.substring("text", F.lit(1), F.col("n_chars") - F.col("cut"))
     rest = F.substring("text", F.col("n_chars") - F.col("cut") + 1, F.col("cut"))
     rows = rows.select("run", "rank", "doc_id", "n_chars", kept.alias("kept"), rest.alias("rest"), F.substring("next", F.lit(1), F.col("cut")).alias("new"))
-    about = rows.select("run", "rank", "doc_id", "n_chars", F.sha2(F.concat("kept", "new"), 256).alias("edited"))
-
     # Words of the part that both texts share are counted once; the cut may fall within a word.
-    words = rows.select("run", "rank", F.split("kept", BLANKS).alias("kept"), "rest", "new")
+    sha = F.sha2(F.concat("kept", "new"), 256)
+    about = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("n_chars").cast("string"), *(F.substring(sha, 16 * i + 1, 16) for i in range(4)))
+    words = rows.select("run", "rank", about.alias("about"), F.split("kept", BLANKS).alias("kept"), "rest", "new")
     last = F.element_at("kept", -1)
-    words = words.select("run", "rank", F.slice("kept", F.lit(1), F.size("kept") - 1).alias("kept"), F.split(F.concat(last, "rest"), BLANKS).alias("rest"), F.split(F.concat(last, "new"), BLANKS).alias("new"))
-    words = words.select("run", "rank", F.size("kept").alias("a"), (F.size("kept") + F.size("rest")).alias("b"), F.posexplode(F.concat("kept", "rest", "new")).alias("p", "word")).where("word <> ''")
-    words = words.select("run", "rank", F.xxhash64("word").alias("term"), (F.col("p") < F.col("b")).cast("int").alias("own"), ((F.col("p") < F.col("a")) | (F.col("p") >= F.col("b"))).cast("int").alias("changed"))
-    words = words.groupBy("run", "rank", "term").agg(F.sum("own").alias("w_own"), F.sum("changed").alias("w_changed"))
-    signed = signatures(words, ["run", "rank"], {"own": "w_own", "changed": "w_changed"}, samples)
-    blank = F.array_repeat(F.lit(0), samples)
-    table = about.join(signed, ["run", "rank"], "left").select("run", "rank", "doc_id", "n_chars", "edited", F.coalesce("own", blank).alias("own"), F.coalesce("changed", blank).alias("changed"))
+    words = words.select("run", "rank", "about", F.slice("kept", F.lit(1), F.size("kept") - 1).alias("kept"), F.split(F.concat(last, "rest"), BLANKS).alias("rest"), F.split(F.concat(last, "new"), BLANKS).alias("new"))
+    # Position 0 is a word of no weight, for the document itself: what is about it travels there, past the counting.
+    a, b = F.size("kept"), F.size("kept") + F.size("rest")
+    words = words.select("run", "rank", "about", a.alias("a"), b.alias("b"), F.posexplode(F.concat(F.array(F.lit("")), "kept", "rest", "new")).alias("p", "word")).where("word <> '' or p = 0")
+    own, changed = (F.col("p") > 0) & (F.col("p") <= F.col("b")), ((F.col("p") > 0) & (F.col("p") <= F.col("a"))) | (F.col("p") > F.col("b"))
+    words = words.select("run", "rank", F.when(F.col("p") == 0, F.col("about")).alias("about"), F.xxhash64("word").alias("term"), own.cast("int").alias("own"), changed.cast("int").alias("changed"))
+    words = words.groupBy("run", "rank", "term", "about").agg(F.sum("own").alias("w_own"), F.sum("changed").alias("w_changed"))
+    field = lambda i: F.split("about", r"\|")[i]
+    facts = {"doc_id": F.when(field(0) != "", field(0).cast("bigint")), "n_chars": field(1).cast("bigint")}
+    facts |= {f"e{i}": F.conv(field(2 + i), 16, -10).cast("bigint") for i in range(4)}
+    words = words.select("run", "rank", "term", "w_own", "w_changed", *(c.alias(k) for k, c in facts.items()))
+    table = signatures(words, ["run", "rank"], {"own": "w_own", "changed": "w_changed"}, samples, list(facts))
+    table = table.withColumn("edited", F.lower(F.concat(*(F.lpad(F.hex(f"e{i}"), 16, "0") for i in range(4))))).drop(*(f"e{i}" for i in range(4)))
     table = write_table(table, "sampling-signatures")
     first = table.where("rank = 1").select(F.col("run").alias("next_run"), F.col("own").alias("head"))
     after = follows.join(first, "next_run").select(F.col("run").alias("r"), "head")
