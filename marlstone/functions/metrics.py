@@ -346,9 +346,9 @@ def ulcer_performance_ratio(equity_curve: Column, *, periods_per_year: int, risk
 
 
 def _paired(returns: Column, benchmark: Column, over: Over | None) -> tuple[Column, Column]:
+    """Both inputs, each null where the other is: aggregates of one then skip what those of the other skip."""
     r, b = _input(returns, over), _input(benchmark, over)
-    both = r.isNotNull() & b.isNotNull()
-    return F.when(both, r), F.when(both, b)
+    return F.when(b.isNotNull(), r), F.when(r.isNotNull(), b)
 
 
 def _two(pair: Column, value: Column) -> Column:
@@ -396,16 +396,17 @@ def modigliani_risk_adjusted_performance(returns: Column, benchmark: Column, *,
 
 
 def _capture(returns: Column, benchmark: Column, periods_per_year: int, up: bool, over: Over | None) -> Column:
-    r, b = _paired(returns, benchmark, over)
+    """Annual growth of the returns over the benchmark's, in periods that the benchmark rises (falls): a leg is
+    one conditional mean of log growth.  No such period: null; one that loses all, or a NaN: NaN."""
     validate.periods(periods_per_year)
-    chosen = b > 0 if up else b < 0
-    n = F.count(F.when(chosen, 1))
-    broken = F.coalesce(F.max(chosen & ((1.0 + r <= 0) | (1.0 + b <= 0))), F.lit(False))
-
-    def growth(x: Column) -> Column:
-        return F.pow(F.product(F.when(chosen, 1.0 + x)), div(F.lit(float(periods_per_year)), n.cast("double"))) - 1.0
-
-    return F.when(any_nan(r) | any_nan(b) | broken, nan()).when(n < 1, missing()).otherwise(div(growth(r), growth(b)))
+    pair = _paired(returns, benchmark, over)
+    counted = pair[1] > 0 if up else pair[1] < 0
+    lost = any_nan(pair[0]) | any_nan(pair[1])
+    legs = []
+    for x in pair:
+        lost = lost | F.coalesce(F.max(counted & (x <= -1)), F.lit(False))
+        legs.append(F.expm1(F.avg(F.when(counted & (x > -1), F.log1p(x))) * float(periods_per_year)))
+    return F.when(lost, nan()).otherwise(div(*legs))
 
 
 def capture_upside_ratio(returns: Column, benchmark: Column, *, periods_per_year: int, over: Over | None = None) -> Column:
@@ -495,10 +496,14 @@ def tail_ratio_rolling(returns: Column, window: int, *, over: Over) -> Column:
 
 
 def _slope_rolling(r: Column, b: Column, window: int, over: Over) -> Column:
-    joint = over.mean(r * b, window) - over.mean(r, window) * over.mean(b, window)
+    """Covariance over variance, both from centred sums: no digits cancel where means are large."""
+    last = over.last(window)
+    whole = F.count(r + b).over(last) == window
     top = over.max(b, window)
-    flat = (top == over.min(b, window)) & is_finite(top) & joint.isNotNull()
-    return F.when(flat, nan()).otherwise(div(joint, over.variance(b, window, 0)))
+    flat = (top == over.min(b, window)) & is_finite(top)
+    broken = over.has_nan(r, window) | over.has_nan(b, window)
+    joint = F.when(broken, nan()).otherwise(F.covar_pop(r, b).over(last))
+    return F.when(whole, F.when(flat, nan()).otherwise(div(joint, over.variance(b, window, 0))))
 
 
 def beta_rolling(returns: Column, benchmark: Column, window: int, *, over: Over) -> Column:

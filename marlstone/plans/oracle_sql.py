@@ -298,7 +298,7 @@ def _metrics() -> dict[str, str]:
     n = 20
     sd = roll("stddev_samp({})", "r", n)
     short = "CASE WHEN r < 0 THEN r * r WHEN r IS NOT NULL THEN 0 END"
-    sloper = f"(({mean('r * b', n)} - {mean('r', n)} * {mean('b', n)}) / {roll('var_pop({})', 'b', n)})"
+    sloper = f"(CASE WHEN count(r + b) {over(n)} = {n} THEN regr_slope(r, b) {over(n)} END)"
     out |= _values(
         alpha_rolling=f"pow(1 + {mean('r', n)} - {sloper} * {mean('b', n)}, 252) - 1", beta_rolling=sloper, treynor_ratio_rolling=f"{mean('r', n)} * 252 / {sloper}",
         cagr_rolling=f"pow(e / {lag('e', 19)}, 252.0 / 19) - 1", total_return_rolling=f"e / {lag('e', 19)} - 1", drawdown=f"e / max(e) {RUN} - 1",

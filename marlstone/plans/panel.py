@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 from itertools import count
 
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -41,7 +42,8 @@ def _group_kernel(requests: list[tuple[str, list[str], dict, list[str]]], order:
     kernels = dict(KERNELS)
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([(c, "ascending") for c in order])
+        # Nulls first, as in Spark's windows: kernels and windows see one order.
+        table = table.take(pa.compute.sort_indices(table, sort_keys=[(c, "ascending") for c in order], null_placement="at_start"))
         lanes: dict[str, list] = {}
         for kind, inputs, params, outputs in requests:
             given = [lanes[i] if i in lanes else lanes.setdefault(i, table.column(i).to_pylist()) for i in inputs]
@@ -54,12 +56,23 @@ def _group_kernel(requests: list[tuple[str, list[str], dict, list[str]]], order:
     return run
 
 
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 class Panel(Over):
     """``df`` as series: rows of equal ``keys`` in the order of ``order`` (column names; the order must
-    be unique within a series).  A series' rows meet in one task, as its recursions ask."""
+    be unique within a series; a null order comes first).  A series' rows meet in one task, as its recursions ask."""
 
     def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> None:
-        super().__init__(keys, order)
+        for what, names in (("keys", keys), ("order", order)):
+            for name in names:
+                if not isinstance(name, str):
+                    raise TypeError(f"a panel's {what} are column names, got {type(name).__name__}: put an expression into a column first")
+                if name not in df.columns:
+                    raise ValueError(f"no column {name} to take as a panel's {what}; there are {', '.join(df.columns)}")
+        super().__init__([F.col(_quoted(k)) for k in keys], [F.col(_quoted(o)) for o in order])
+        self.keys, self.order = list(keys), list(order)
         self.df, self._id = df, next(_panels)
         self._requests: dict[str, _Request] = {}
         self._known: dict[tuple, list[str]] = {}
@@ -125,19 +138,32 @@ class Panel(Over):
                         df = df if name in df.columns else df.withColumn(name, x.cast("double"))
                         names.append(name)
                 plan.append((r.kind, names, r.params, r.lanes))
-            schema = StructType([*df.schema.fields, *(StructField(n, DoubleType()) for r in now for n in r.lanes)])
-            run = _group_kernel(plan, self.order)
-            grouped = df.groupBy(*self.keys) if self.keys else df.groupBy(F.lit(0))
-            df = grouped.applyInArrow(run, schema).drop(*native.values())
+            # Plain names for the grouped function: those of the frame may hold dots.
+            safe = {c: f"__plain_{i}" for i, c in enumerate(df.columns)}
+            plan = [(kind, [safe.get(n, n) for n in names], params, lanes) for kind, names, params, lanes in plan]
+            added = [n for r in now for n in r.lanes]
+            plain = df.toDF(*safe.values())
+            schema = StructType([*plain.schema.fields, *(StructField(n, DoubleType()) for n in added)])
+            run = _group_kernel(plan, [safe[c] for c in self.order])
+            grouped = plain.groupBy(*(safe[k] for k in self.keys)) if self.keys else plain.groupBy(F.lit(0))
+            df = grouped.applyInArrow(run, schema).toDF(*df.columns, *added).drop(*native.values())
         return df
 
     def with_studies(self, **studies: Column) -> DataFrame:
-        """The frame with a column for each study, by name."""
+        """The frame with a column for each study, by names that it doesn't have yet."""
+        self._fresh(studies)
         df = self._with_lanes(list(studies.values()))
-        return df.select(*self.df.columns, *(c.alias(n) for n, c in studies.items()))
+        return df.select(*map(_quoted, self.df.columns), *(c.alias(n) for n, c in studies.items()))
+
+    def _fresh(self, named: dict[str, Column]) -> None:
+        taken = {c.lower() for c in self.df.columns}
+        if clash := [n for n in named if n.lower() in taken]:
+            raise ValueError(f"the frame has columns {', '.join(clash)} already: choose other names")
 
     def metrics(self, **metrics: Column) -> DataFrame:
         """A row for each series: the keys and an aggregate for each metric, by name."""
+        if clash := [n for n in metrics if n.lower() in {k.lower() for k in self.keys}]:
+            raise ValueError(f"the keys are called {', '.join(clash)} too: choose other names")
         columns = list(metrics.values())
         df = self._with_lanes(columns)
         used = " ".join(map(str, columns))
@@ -160,18 +186,19 @@ class Panel(Over):
         for at in range(max(map(depth, columns_of), default=-1) + 1):
             df = df.withColumns({n: c for n, c in columns_of.items() if level[n] == at})
         aggregates = [c.alias(n) for n, c in metrics.items()]
-        return df.groupBy(*self.keys).agg(*aggregates) if self.keys else df.agg(*aggregates)
+        return df.groupBy(*map(_quoted, self.keys)).agg(*aggregates) if self.keys else df.agg(*aggregates)
 
     def with_metrics(self, **metrics: Column) -> DataFrame:
         """The frame with each series' metrics on all its rows."""
         if not self.keys:
             raise ValueError("a panel without keys has one row of metrics: take them from metrics()")
+        self._fresh(metrics)
         rows = self.metrics(**metrics)
-        named = rows.select(*(F.col(k).alias(f"__key_{i}") for i, k in enumerate(self.keys)), *metrics)
-        same = [self.df[k].eqNullSafe(named[f"__key_{i}"]) for i, k in enumerate(self.keys)]
+        named = rows.select(*(F.col(_quoted(k)).alias(f"__key_{i}") for i, k in enumerate(self.keys)), *metrics)
+        same = [self.df[_quoted(k)].eqNullSafe(named[f"__key_{i}"]) for i, k in enumerate(self.keys)]
         on = same[0]
         for more in same[1:]:
             on = on & more
-        return self.df.join(named, on, "left").select(*(self.df[c] for c in self.df.columns), *metrics)
+        return self.df.join(named, on, "left").select(*(self.df[_quoted(c)] for c in self.df.columns), *metrics)
 
 
