@@ -107,10 +107,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    out = {k: v for k, v in globals().items() if k.startswith("op")} | {"language_id_pages": language_id_pages}
-    import corpus_pipeline
-
-    return out | {"pipeline": corpus_pipeline.run}
+    return {k: v for k, v in globals().items() if k.startswith("op")} | {"language_id_pages": language_id_pages}
 
 
 def oracle_sql() -> dict[str, str]:
