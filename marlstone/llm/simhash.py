@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import DOCUMENT_COLUMNS, drop_table, parallelism, tidy, write_table
+from .common import DOCUMENT_COLUMNS, drop_table, join_split, parallelism, tidy, write_table
 from .components import connected_components
 from .shingles import fingerprint_of, shingle_hashes
 from .similar import SIMILARITY, one_of_each, similar_groups, text_key
@@ -224,9 +224,11 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS, cell_size: int = CEL
     found = write_table(
         cells.repartition(n, "cell").sortWithinPartitions("cell", "fp").mapInArrow(tidy(compare), "a bigint, b bigint").distinct(), "simhash-links"
     )
+    if not found.where("a = b").limit(1).count():
+        return found
     hot = found.where("a = b").select(F.col("a").alias("fp")).distinct().mapInArrow(tidy(around), "cell bigint, fp bigint")
     more = hot.repartition(n, "cell").sortWithinPartitions("cell", "fp").mapInArrow(tidy(star), "a bigint, b bigint").distinct()
-    return found.where("a <> b").unionByName(more)
+    return found.where("a <> b").unionByName(write_table(more, "simhash-links"))
 
 
 def near_groups(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
@@ -238,13 +240,15 @@ def near_groups(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -
     other; an empty table gives none.
     """
     table = write_table(fingerprints(docs, shingle), "simhash-fingerprints")
-    distinct = write_table(table.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
+    distinct = write_table(table.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "simhash-distinct")
     roots = connected_components(fingerprint_links(distinct, radius))  # (node, root), linked nodes only
     member = distinct.join(roots, distinct["fp"] == roots["node"]).select("root", "fp", "first")
     smallest = member.groupBy("root").agg(F.min("first").alias("least"))
     linked = member.join(smallest, "root").select(F.col("fp").alias("key"), "least")
-    labels = distinct.join(linked, distinct["fp"] == linked["key"], "left").select(F.col("fp").alias("key"), F.coalesce("least", "first").alias("component_id"))
-    return table.join(labels, table["fp"] == labels["key"]).select("doc_id", "fp", "component_id")
+    labels = distinct.join(linked, distinct["fp"] == linked["key"], "left").select("fp", F.coalesce("least", "first").alias("component_id"), "n")
+    labels = write_table(labels.withColumnRenamed("fp", "key"), "simhash-labels")
+    total = labels.agg(F.sum("n")).first()[0] or 0
+    return join_split(table, "fp", labels, "key", "n", total, F.xxhash64("doc_id"))
 
 
 def deduplicate(docs: DataFrame, radius: int = RADIUS, shingle: int = 5) -> DataFrame:
