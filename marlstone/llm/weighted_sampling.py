@@ -81,7 +81,8 @@ def _value(first: Column, second: Column, weight: Column) -> Column:
     r = -F.ln(_uniform(first, 0, 21) * _uniform(first, 21, 21))
     c = -F.ln(_uniform(second, 0, 32) * _uniform(second, 32, 32))
     b = _uniform(first, 42, 22)
-    return F.ln(c) - r * (F.floor(weight / r + b).cast("double") - b + 1.0)
+    step = F.when(weight == 0, 0.0).otherwise(F.floor(weight / r + b).cast("double"))  # of weight 1: b < 1
+    return F.ln(c) - r * (step - b + 1.0)
 
 
 def signatures(words: DataFrame, keys: list[str], weights: dict[str, str], samples: int = SAMPLES, facts: Sequence[str] = ()) -> DataFrame:
@@ -93,7 +94,8 @@ def signatures(words: DataFrame, keys: list[str], weights: dict[str, str], sampl
     """
     passes = math.ceil(samples / PASS)
     wide = words.select(*keys, "term", *facts, *(F.when(F.col(w) > 0, F.ln(w)).alias(f"ln_{name}") for name, w in weights.items()), F.explode(F.sequence(F.lit(0), F.lit(passes - 1))).alias("pass"))
-    wide = wide.select("*", *(F.xxhash64("term", "pass", F.lit(j)).alias(f"x{j}") for j in range(PASS)))
+    wide = wide.withColumn("seed", F.xxhash64("term", "pass")).drop("term")
+    wide = wide.select("*", *(F.xxhash64(F.col("seed").bitwiseXOR(F.lit(j))).alias(f"x{j}") for j in range(PASS)))
     wide = wide.select("*", *(F.xxhash64(f"x{j}").alias(f"y{j}") for j in range(PASS)))
     least = [F.min(_value(F.col(f"x{j}"), F.col(f"y{j}"), F.col(f"ln_{name}"))).alias(f"{name}_{j}") for name in weights for j in range(PASS)]
     part = wide.groupBy(*keys, "pass").agg(*least, *(F.max(x).alias(x) for x in facts))

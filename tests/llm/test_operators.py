@@ -438,7 +438,7 @@ def test_weighted_samples_against_a_plain_sampler(spark):
             best = None
             for word, w in counts.items():
                 seed = h(struct.pack("<i", i // PASS), h(struct.pack("<Q", h(word.encode()))))
-                x = h(struct.pack("<i", i % PASS), seed)
+                x = h(struct.pack("<Q", seed ^ i % PASS))
                 y = h(struct.pack("<Q", x))
                 r, c = -math.log(unit(x, 0, 21) * unit(x, 21, 21)), -math.log(unit(y, 0, 32) * unit(y, 32, 32))
                 t = math.floor(math.log(w) / r + unit(x, 42, 22))
