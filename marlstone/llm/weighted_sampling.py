@@ -10,6 +10,11 @@ keeps 16 bits of its hash: 4 hexadecimal digits a sample.
 Scale: documents are dealt once, by runs of neighbouring doc_ids that end at quantiles, so that a
 document's successor is in the same task but for the last of a run; words are counted and samples taken without another
 shuffle.  The smallest values are plain running minima in generated code.
+
+Logarithms are most of the work, and few terms need them: e^value of a term of weight w is exponential with rate w,
+so a document's smallest is below LIKELY / (its total weight) but with probability e^-LIKELY.  Terms that a bound
+without logarithms puts above that limit are passed over.  A document one of whose samples did not come out below
+its limit is taken again from all its terms, so the result is that of all terms at any LIKELY.
 """
 
 from __future__ import annotations
@@ -28,6 +33,10 @@ SAMPLES = 64
 PASS = 8
 #: Runs of documents a partition, about.
 RUNS = 8
+#: Limit on e^value times the total weight, beyond which terms are passed over at first.
+LIKELY = 20.0
+#: What a document's row of position 0 carries: its id, its length, and the edited text's SHA-256 in four parts.
+_FACTS = ["doc_id", "n_chars", "e0", "e1", "e2", "e3"]
 _DIGITS = 4
 
 
@@ -77,32 +86,60 @@ def _uniform(x: Column, shift: int, bits: int) -> Column:
     return (cut.bitwiseAND(F.lit((1 << bits) - 1)).cast("double") + 0.5) * F.lit(2.0**-bits)
 
 
-def _value(first: Column, second: Column, weight: Column) -> Column:
-    r = -F.ln(_uniform(first, 0, 21) * _uniform(first, 21, 21))
-    c = -F.ln(_uniform(second, 0, 32) * _uniform(second, 32, 32))
-    b = _uniform(first, 42, 22)
+def _draws(first: Column, second: Column) -> tuple[Column, Column, Column]:
+    """(e^-r, e^-c, b) of a sample, from its two hashes."""
+    return _uniform(first, 0, 21) * _uniform(first, 21, 21), _uniform(second, 0, 32) * _uniform(second, 32, 32), _uniform(first, 42, 22)
+
+
+def _value(log_c: Column, r: Column, b: Column, weight: Column) -> Column:
     step = F.when(weight == 0, 0.0).otherwise(F.floor(weight / r + b).cast("double"))  # of weight 1: b < 1
-    return F.ln(c) - r * (step - b + 1.0)
+    return log_c - r * (step - b + 1.0)
+
 
+def _may_be_least(p: Column, q: Column, b: Column, weight: Column, limit: Column) -> Column:
+    """False only where e^value is above ``limit``, by bounds without logarithms: c = -ln q >= 2 (1 - q) / (1 + q), and
+    e^value / c is p^(1 - b) >= p / (p + (1 - b) (1 - p)) for weight 1, at least p / weight for any."""
+    below = F.when(weight == 1.0, p + (1.0 - b) * (1.0 - p)).otherwise(weight)
+    return 2.0 * (1.0 - q) * p <= limit * (1.0 + q) * below
 
-def signatures(words: DataFrame, keys: list[str], weights: dict[str, str], samples: int = SAMPLES, facts: Sequence[str] = ()) -> DataFrame:
-    """For each group of ``keys`` an array of ``samples`` codes for each of ``weights``.
+
+def signatures(words: DataFrame, keys: list[str], weights: dict[str, str], samples: int = SAMPLES, facts: Sequence[str] = (), limit: str | None = None) -> DataFrame:
+    """For each group of ``keys`` an array of ``samples`` codes for each of ``weights``, and ``sure``.
 
     ``words`` has a row for each term of a group: ``term`` (its hash, bigint) and weight columns
     (null or 0: absent).  ``weights``: name of the signature -> weight column.
     ``facts``: further columns, of which a group's greatest value is kept.
+    ``limit``: a column, the same for a group's rows; terms whose e^value is surely above it may be passed over.
+    A group is ``sure`` if all its smallest values are below, so that no term passed over can matter.
     """
     passes = math.ceil(samples / PASS)
-    wide = words.select(*keys, "term", *facts, *(F.when(F.col(w) > 0, F.ln(w)).alias(f"ln_{name}") for name, w in weights.items()), F.explode(F.sequence(F.lit(0), F.lit(passes - 1))).alias("pass"))
+    most = F.greatest(*(F.coalesce(F.col(w), F.lit(0)) for w in weights.values()), F.lit(1)).cast("double")
+    # Above the limit by more than the bounds' rounding errors.
+    bound = [] if limit is None else [(F.col(limit) * (1.0 + 1e-9)).alias("limit"), most.alias("most")]
+    wide = words.select(*keys, "term", *facts, *bound, *(F.when(F.col(w) > 0, F.ln(w)).alias(f"ln_{name}") for name, w in weights.items()), F.explode(F.sequence(F.lit(0), F.lit(passes - 1))).alias("pass"))
     wide = wide.withColumn("seed", F.xxhash64("term", "pass")).drop("term")
     wide = wide.select("*", *(F.xxhash64(F.col("seed").bitwiseXOR(F.lit(j))).alias(f"x{j}") for j in range(PASS)))
     wide = wide.select("*", *(F.xxhash64(f"x{j}").alias(f"y{j}") for j in range(PASS)))
-    least = [F.min(_value(F.col(f"x{j}"), F.col(f"y{j}"), F.col(f"ln_{name}"))).alias(f"{name}_{j}") for name in weights for j in range(PASS)]
-    part = wide.groupBy(*keys, "pass").agg(*least, *(F.max(x).alias(x) for x in facts))
+    kept = [c for c in wide.columns if not c.startswith("y")]
+    logs = []
+    for j in range(PASS):
+        p, q, b = _draws(F.col(f"x{j}"), F.col(f"y{j}"))
+        needed = F.lit(True) if limit is None else _may_be_least(p, q, b, F.col("most"), F.col("limit"))
+        logs += [F.when(needed, F.ln(-F.ln(q))).alias(f"c{j}"), F.when(needed, -F.ln(p)).alias(f"r{j}")]
+    wide = wide.select(*kept, *logs)
+    value = lambda name, j: _value(F.col(f"c{j}"), F.col(f"r{j}"), _uniform(F.col(f"x{j}"), 42, 22), F.col(f"ln_{name}"))
+    least = [F.min(value(name, j)).alias(f"{name}_{j}") for name in weights for j in range(PASS)]
+    some = [F.max(f"ln_{name}").alias(f"some_{name}") for name in weights] + ([] if limit is None else [F.max("limit").alias("limit")])
+    part = wide.groupBy(*keys, "pass").agg(*least, *some, *(F.max(x).alias(x) for x in facts))
+    sure = F.lit(True)
+    if limit is not None:
+        for name in weights:
+            greatest = [F.coalesce(F.col(f"{name}_{j}"), F.lit(math.inf)) for j in range(PASS)]
+            sure = sure & (F.col(f"some_{name}").isNull() | (F.greatest(*greatest) < F.ln("limit") - 1e-8))
     code = lambda c: F.coalesce(F.xxhash64(c).bitwiseAND(F.lit((1 << 4 * _DIGITS) - 1)), F.lit(0)).cast("int")
-    part = part.select(*keys, "pass", *facts, *(F.array(*(F.when(F.col(f"{name}_{j}").isNull(), 0).otherwise(code(f"{name}_{j}")) for j in range(PASS))).alias(name) for name in weights))
-    whole = part.groupBy(*keys).agg(*(F.sort_array(F.collect_list(F.struct("pass", F.col(name).alias("codes")))).alias(name) for name in weights), *(F.max(x).alias(x) for x in facts))
-    return whole.select(*keys, *facts, *(F.slice(F.flatten(F.transform(name, lambda s: s["codes"])), 1, samples).alias(name) for name in weights))
+    part = part.select(*keys, "pass", *facts, sure.alias("sure"), *(F.array(*(F.when(F.col(f"{name}_{j}").isNull(), 0).otherwise(code(f"{name}_{j}")) for j in range(PASS))).alias(name) for name in weights))
+    whole = part.groupBy(*keys).agg(*(F.sort_array(F.collect_list(F.struct("pass", F.col(name).alias("codes")))).alias(name) for name in weights), F.min("sure").alias("sure"), *(F.max(x).alias(x) for x in facts))
+    return whole.select(*keys, *facts, *(F.slice(F.flatten(F.transform(name, lambda s: s["codes"])), 1, samples).alias(name) for name in weights), "sure")
 
 
 def to_text(codes: Column) -> Column:
@@ -115,7 +152,29 @@ def likeness(a: Column, b: Column) -> Column:
     return same / F.size(a).cast("double")
 
 
-def edited_pairs(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
+def _edited_terms(rows: DataFrame) -> DataFrame:
+    """(run, rank, term, w_own, w_changed, total, facts) of the words of each row's own and edited text."""
+    # Words of the part that both texts share are counted once; the cut may fall within a word.
+    sha = F.sha2(F.concat("kept", "new"), 256)
+    about = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("n_chars").cast("string"), *(F.substring(sha, 16 * i + 1, 16) for i in range(4)))
+    words = rows.select("run", "rank", about.alias("about"), F.split("kept", BLANKS).alias("kept"), "rest", "new")
+    last = F.element_at("kept", -1)
+    words = words.select("run", "rank", "about", F.slice("kept", F.lit(1), F.size("kept") - 1).alias("kept"), F.split(F.concat(last, "rest"), BLANKS).alias("rest"), F.split(F.concat(last, "new"), BLANKS).alias("new"))
+    # Position 0 is a word of no weight, for the document itself: what is about it travels there, past the counting.
+    a, b = F.size("kept"), F.size("kept") + F.size("rest")
+    # At least so many words on either side: three may be empty, at the ends of the parts.
+    total = F.greatest(F.least(b, a + F.size("new")) - 3, F.lit(1))
+    words = words.select("run", "rank", "about", a.alias("a"), b.alias("b"), total.alias("total"), F.posexplode(F.concat(F.array(F.lit("")), "kept", "rest", "new")).alias("p", "word")).where("word <> '' or p = 0")
+    own, changed = (F.col("p") > 0) & (F.col("p") <= F.col("b")), ((F.col("p") > 0) & (F.col("p") <= F.col("a"))) | (F.col("p") > F.col("b"))
+    words = words.select("run", "rank", "total", F.when(F.col("p") == 0, F.col("about")).alias("about"), F.xxhash64("word").alias("term"), own.cast("int").alias("own"), changed.cast("int").alias("changed"))
+    words = words.groupBy("run", "rank", "term", "about").agg(F.sum("own").alias("w_own"), F.sum("changed").alias("w_changed"), F.max("total").alias("total"))
+    field = lambda i: F.split("about", r"\|")[i]
+    facts = {"doc_id": F.when(field(0) != "", field(0).cast("bigint")), "n_chars": field(1).cast("bigint")}
+    facts |= {f"e{i}": F.conv(field(2 + i), 16, -10).cast("bigint") for i in range(4)}
+    return words.select("run", "rank", "term", "w_own", "w_changed", "total", *(c.alias(k) for k, c in facts.items()))
+
+
+def edited_pairs(docs: DataFrame, samples: int = SAMPLES, likely: float = LIKELY) -> DataFrame:
     """(doc_id, n_chars, edited, own, changed, following): signatures of each text, of its edited text,
     and of the next document's text; ``edited`` is a SHA-256.
 
@@ -138,25 +197,18 @@ def edited_pairs(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     kept = F.substring("text", F.lit(1), F.col("n_chars") - F.col("cut"))
     rest = F.substring("text", F.col("n_chars") - F.col("cut") + 1, F.col("cut"))
     rows = rows.select("run", "rank", "doc_id", "n_chars", kept.alias("kept"), rest.alias("rest"), F.substring("next", F.lit(1), F.col("cut")).alias("new"))
-    # Words of the part that both texts share are counted once; the cut may fall within a word.
-    sha = F.sha2(F.concat("kept", "new"), 256)
-    about = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("n_chars").cast("string"), *(F.substring(sha, 16 * i + 1, 16) for i in range(4)))
-    words = rows.select("run", "rank", about.alias("about"), F.split("kept", BLANKS).alias("kept"), "rest", "new")
-    last = F.element_at("kept", -1)
-    words = words.select("run", "rank", "about", F.slice("kept", F.lit(1), F.size("kept") - 1).alias("kept"), F.split(F.concat(last, "rest"), BLANKS).alias("rest"), F.split(F.concat(last, "new"), BLANKS).alias("new"))
-    # Position 0 is a word of no weight, for the document itself: what is about it travels there, past the counting.
-    a, b = F.size("kept"), F.size("kept") + F.size("rest")
-    words = words.select("run", "rank", "about", a.alias("a"), b.alias("b"), F.posexplode(F.concat(F.array(F.lit("")), "kept", "rest", "new")).alias("p", "word")).where("word <> '' or p = 0")
-    own, changed = (F.col("p") > 0) & (F.col("p") <= F.col("b")), ((F.col("p") > 0) & (F.col("p") <= F.col("a"))) | (F.col("p") > F.col("b"))
-    words = words.select("run", "rank", F.when(F.col("p") == 0, F.col("about")).alias("about"), F.xxhash64("word").alias("term"), own.cast("int").alias("own"), changed.cast("int").alias("changed"))
-    words = words.groupBy("run", "rank", "term", "about").agg(F.sum("own").alias("w_own"), F.sum("changed").alias("w_changed"))
-    field = lambda i: F.split("about", r"\|")[i]
-    facts = {"doc_id": F.when(field(0) != "", field(0).cast("bigint")), "n_chars": field(1).cast("bigint")}
-    facts |= {f"e{i}": F.conv(field(2 + i), 16, -10).cast("bigint") for i in range(4)}
-    words = words.select("run", "rank", "term", "w_own", "w_changed", *(c.alias(k) for k, c in facts.items()))
-    table = signatures(words, ["run", "rank"], {"own": "w_own", "changed": "w_changed"}, samples, list(facts))
-    table = table.withColumn("edited", F.lower(F.concat(*(F.lpad(F.hex(f"e{i}"), 16, "0") for i in range(4))))).drop(*(f"e{i}" for i in range(4)))
-    table = write_table(table, "sampling-signatures")
+
+    def codes(chosen: DataFrame, limit: str | None = None) -> DataFrame:
+        words = _edited_terms(chosen).withColumn("limit", F.lit(likely) / F.col("total"))
+        out = signatures(words, ["run", "rank"], {"own": "w_own", "changed": "w_changed"}, samples, _FACTS, limit)
+        sha = F.lower(F.concat(*(F.lpad(F.hex(f"e{i}"), 16, "0") for i in range(4))))
+        return out.withColumn("edited", sha).drop(*(f"e{i}" for i in range(4)))
+
+    table = write_table(codes(rows, "limit"), "sampling-signatures")
+    unsure = table.where(~F.col("sure")).select("run", "rank")
+    if not unsure.isEmpty():
+        again = write_table(codes(rows.join(unsure, ["run", "rank"], "left_semi")), "sampling-again")
+        table = table.where("sure").unionByName(again)
     first = table.where("rank = 1").select(F.col("run").alias("next_run"), F.col("own").alias("head"))
     after = follows.join(first, "next_run").select(F.col("run").alias("r"), "head")
     out = table.withColumn("next", F.lead("own").over(Window.partitionBy("run").orderBy("rank")))

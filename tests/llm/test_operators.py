@@ -444,12 +444,18 @@ def test_weighted_samples_against_a_plain_sampler(spark):
                 t = math.floor(math.log(w) / r + unit(x, 42, 22))
                 value = math.log(c) - r * (t - unit(x, 42, 22) + 1)
                 best = min(best or (math.inf,), (value, word, t))
-            out.append(best[1:])
+            out.append(best and best[1:])
         return out
 
     rng = random.Random(31)
     texts = {i: words(rng, rng.randrange(5, 60), 25) for i in range(30)}
-    got = {r["doc_id"]: r["own"] for r in edited_pairs(docs_of(spark, list(texts.items()))).collect()}
+    texts |= {30: "", 31: "one", 32: " one one ", 33: "\n", 34: words(rng, 4_000, 300)}
+    docs = docs_of(spark, list(texts.items()))
+    rows = edited_pairs(docs).collect()
+    # Terms passed over never matter: not where nearly all documents are taken again, nor where none is passed over.
+    for likely in (0.5, 3.0, 1e9):
+        assert sorted(edited_pairs(docs, likely=likely).collect()) == sorted(rows), likely
+    got = {r["doc_id"]: r["own"] for r in rows}
     want = {i: samples(t) for i, t in texts.items()}
     same = differ = 0
     for a in texts:
