@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -56,6 +57,23 @@ def drop_table(df: DataFrame) -> None:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def any_names(operator):
+    """For an operator whose first argument is a table and whose result keeps its columns: those whose names begin with
+    two underscores, as the operators' own do, travel under names that nothing else has."""
+
+    @functools.wraps(operator)
+    def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+        prefix = "extra"
+        while any(c.lower().startswith(prefix) for c in docs.columns):
+            prefix += "_"
+        names = {c: f"{prefix}{i}" for i, c in enumerate(docs.columns) if c.startswith("__")}
+        if not names:
+            return operator(docs, *args, **kwargs)
+        return operator(docs.withColumnsRenamed(names), *args, **kwargs).withColumnsRenamed({v: k for k, v in names.items()})
+
+    return run
+
+
 def tidy(function):
     """A function of a Python worker, batches to batches, that gives free memory back to the system when it ends:
     workers are reused, and what one operator's task held would count against the next one's."""

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, write_table
+from .common import any_names, lower_ascii, write_table
 
 SIZE = 10
 #: Bytes of windows and item lists up to which the set is broadcast.
@@ -100,6 +100,7 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = SIZE, broadcast
     return found.select("doc_id", "__text_hash", "n_words", "spans", covered.cast("bigint").alias("n_hit"), "items")
 
 
+@any_names
 def decontaminate(docs: DataFrame, items: DataFrame, size: int = SIZE, remove: str = "documents") -> DataFrame:
     """``docs`` with its columns, less the contaminated documents (``remove="documents"``) or less
     the hit words and the separators before them (``remove="spans"``; n_chars, where there is such a
@@ -119,4 +120,4 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = SIZE, remove: s
     out = docs.join(hits, same, "left").withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("text")))
-    return out.select(*docs.columns)
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))

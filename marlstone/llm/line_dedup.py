@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-from .common import drop_table, parallelism, tidy, write_table
+from .common import any_names, drop_table, parallelism, tidy, write_table
 
 #: Characters that a unit has at least.
 LEAST_CHARS = 20
@@ -303,6 +303,7 @@ def report(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", *(F.col(f"__{c}").cast("bigint").alias(n) for c, n in (("lines", "n_lines"), ("removed", "n_removed"), ("partners", "partners"))), kept.alias("kept"))
 
 
+@any_names
 def deduplicate_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with its columns, less the aligned common blocks of later documents; n_chars, where
     there is such a column, follows.  Documents of which nothing but blanks stays are left out."""

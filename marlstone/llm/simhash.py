@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import DOCUMENT_COLUMNS, drop_table, join_split, parallelism, tidy, write_table
+from .common import DOCUMENT_COLUMNS, any_names, drop_table, join_split, parallelism, tidy, write_table
 from .components import connected_components
 from .shingles import fingerprint_of, shingle_hashes
 from .similar import SIMILARITY, one_of_each, similar_groups, text_key
@@ -251,6 +251,7 @@ def near_groups(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -
     return join_split(table, "fp", labels, "key", "n", total, F.xxhash64("doc_id"))
 
 
+@any_names
 def deduplicate(docs: DataFrame, radius: int = RADIUS, shingle: int = 5) -> DataFrame:
     """The rows of ``docs`` less every near copy: of each group the row with the smallest doc_id
     stays, and one of its repeats.  All columns stay, whatever their names.  Rows are told apart by
@@ -263,6 +264,7 @@ def deduplicate(docs: DataFrame, radius: int = RADIUS, shingle: int = 5) -> Data
     return one_of_each(keyed, labels)
 
 
+@any_names
 def deduplicate_near(docs: DataFrame, similarity: Fraction = SIMILARITY, shingle: int = 5, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` less every near copy: of each group that links of ``similarity`` or more (Jaccard, of
     the sets of shingles) join, the row with the smallest doc_id stays, and one of its repeats.

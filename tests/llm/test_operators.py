@@ -779,3 +779,42 @@ def test_pipeline_stages(spark, tmp_path):
     assert left[0] == ids | {100 + i for i in range(10)} | {200} and left[1] == ids | {200} and left[2] == ids | {200} and left[3] == ids
     out = corpus_pipeline.run(spark, folder)
     assert {r["doc_id"] for r in out.collect()} == ids
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """The whole run: an empty table; nulls, repeated rows, shared and null ids, a long text, columns with clashing names."""
+    pytest.importorskip("public_tokenizers")
+    import corpus_pipeline
+
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    extra = {c: F.lit(7) for c in ("h", "key", "__key", "__id", "word", "sequence_id", "piece", "root", "b", "a.b")}
+    rng = random.Random(41)
+    text = lambda n=60: "\n".join(words(rng, 12, 5000) for _ in range(n // 12))
+    clean = [(i, text()) for i in range(40)]
+    odd = [clean[3]] * 3 + [(5, text()), (None, text()), (None, None), (50, ""), (51, None), (52, " \n\t"), (53, text(30_000))]
+    for name, rows, items in (("empty", [], []), ("odd", clean + odd, [(None, None), (1, ""), (2, words(rng, 12, 10**6))])):
+        folder = str(tmp_path / name)
+        docs_of(spark, rows).withColumns(extra).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        out = corpus_pipeline.run(spark, folder)
+        assert out.columns == columns
+        got = out.collect()
+        if not rows:
+            assert got == []
+            continue
+        firsts = Counter(r["doc_id"] for r in got if r["piece"] == 0)
+        assert firsts == Counter({**dict.fromkeys([i for i, _ in clean], 1), 5: 2, None: 1, 53: 1})
+        long = sorted((r["piece"], r["start"], r["length"]) for r in got if r["doc_id"] == 53)
+        assert len(long) > 10 and [s for _, s, _ in long] == [2048 * p for p, _, _ in long] and {n for _, _, n in long[:-1]} == {2048}
+        held = {}
+        for r in got:
+            held.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        for parts in held.values():
+            assert [o for o, _ in sorted(parts)] == [sum(n for _, n in sorted(parts)[:k]) for k in range(len(parts))]
+            assert sum(n for _, n in parts) <= 2048
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES:  # by itself, with and without the clashing names
+            with_, without = stage(spark, docs, folder), stage(spark, docs.drop(*extra), folder)
+            keys = ["doc_id", "piece", "start", "length"] if "piece" in without.columns else without.columns
+            assert with_.columns == without.columns
+            assert Counter(with_.select(keys).collect()) == Counter(without.select(keys).collect())
