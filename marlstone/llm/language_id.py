@@ -11,7 +11,9 @@ counts that judge it, so a text weighs once.
 
 The languages are those that the labels of all rows name (the ``LANGUAGES`` commonest).  The trigram
 tables are fitted on a bounded sample of each: ``SAMPLE`` rows, those with the smallest hash of their
-id; executors count, the driver gets counts alone.
+id; executors count, the driver gets counts alone.  Where the label is evidence too, as a declared
+language, tables are fitted in ``folds``: a row is scored by those of the other folds, so that what it
+declares does not count a second time as the label of its own text.
 Counts of values that hold more than their share of rows are joined by a broadcast table of at most
 ``HOT x partitions`` rows, so that no host is hot in a shuffle.
 """
@@ -35,6 +37,8 @@ TRIGRAMS = 100
 CELLS = 15
 #: Weight, in rows, of the level above in a smoothed prior.
 WEIGHT = 10.0
+#: Parts of the fitting sample where labels are evidence as well.
+FOLDS = 2
 #: Below this posterior, or without letters, a text is rejected.
 CONFIDENCE = 0.5
 
@@ -58,9 +62,15 @@ def _trigram_cells():
     return cells
 
 
-def train(docs: DataFrame, sample: int = SAMPLE, languages: int = LANGUAGES) -> tuple[list[str], np.ndarray]:
+def fold_of(row_id: Column, folds: int) -> Column:
+    """The fold of a row: rows that share an id share it."""
+    return F.pmod(F.xxhash64(row_id.cast("bigint")), F.lit(folds)).cast("int")
+
+
+def train(docs: DataFrame, sample: int = SAMPLE, languages: int = LANGUAGES, folds: int = 1) -> tuple[list[str], np.ndarray]:
     """(languages, log-probabilities [cell, language]) of labelled rows (doc_id, text, lang).
 
+    With several ``folds`` the tables are [fold, cell, language], a fold's being those of the other folds' rows.
     Of rows that repeat an id and a language one text is taken; an id of several languages counts in each.
     """
     docs = docs.where("lang is not null and text is not null and doc_id is not null").select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
@@ -79,32 +89,40 @@ def train(docs: DataFrame, sample: int = SAMPLE, languages: int = LANGUAGES) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, held = _trigram_cells(), {}
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                n = held.setdefault(number[lang], np.zeros(1 << CELLS, np.int64))
+            for lang, text, fold in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                n = held.setdefault((fold, number[lang]), np.zeros(1 << CELLS, np.int64))
                 n += np.bincount(cells(text.as_py()), minlength=1 << CELLS)
-        for i, n in held.items():
+        for (fold, i), n in held.items():
             at = np.nonzero(n)[0]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i, np.int32)), pa.array(at.astype(np.int32)), pa.array(n[at])], names=["language", "cell", "n"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(at), fold, np.int32)), pa.array(np.full(len(at), i, np.int32)), pa.array(at.astype(np.int32)), pa.array(n[at])],
+                names=["fold", "language", "cell", "n"],
+            )
 
-    counted = chosen.select("l", "text").mapInArrow(tidy(run), "language int, cell int, n bigint").groupBy("language", "cell").agg(F.sum("n").alias("n"))
-    found = counted.toArrow()  # 2**CELLS rows a language at most
-    counts = np.full((1 << CELLS, max(1, len(names))), 0.5)
-    counts[found["cell"].to_numpy(), found["language"].to_numpy()] += found["n"].to_numpy()
-    return names, np.log(counts / counts.sum(axis=0))
+    counted = chosen.select("l", "text", fold_of(F.col("id"), folds)).mapInArrow(tidy(run), "fold int, language int, cell int, n bigint")
+    found = counted.groupBy("fold", "language", "cell").agg(F.sum("n").alias("n")).toArrow()  # 2**CELLS rows a fold and language at most
+    counts = np.zeros((folds, 1 << CELLS, max(1, len(names))))
+    counts[found["fold"].to_numpy(), found["cell"].to_numpy(), found["language"].to_numpy()] = found["n"].to_numpy()
+    if folds > 1:
+        counts = counts.sum(axis=0) - counts
+    counts += 0.5
+    table = np.log(counts / counts.sum(axis=1, keepdims=True))
+    return names, table if folds > 1 else table[0]
 
 
 def text_evidence(rows: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     """``rows`` (id, text_hash, declared, suffix, domain, host, text) with ``text`` replaced by
     ``letters`` (trigrams), ``fits`` (array<double>, one a language) and ``best`` (its number)."""
-    languages, table = model
-    table = table.astype(np.float32)
+    languages, tables = model
+    tables = tables.astype(np.float32).reshape(-1, *tables.shape[-2:])  # of each fold
+    rows = rows.withColumn("fold", fold_of(F.col("id"), len(tables)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = _trigram_cells()
         for batch in batches:
             fits, letters, best = [], [], []
-            for text in batch.column(6):
-                at = cells(text.as_py())
+            for text, fold in zip(batch.column(6), batch.column(7).to_pylist(), strict=True):
+                at, table = cells(text.as_py()), tables[fold]
                 total = np.zeros(table.shape[1])
                 for i in range(0, len(at), 100_000):
                     total += table[at[i : i + 100_000]].sum(axis=0, dtype=np.float64)
@@ -184,12 +202,14 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
 
 
 def document_rows(docs: DataFrame, declared: str | None = None) -> DataFrame:
-    """Documents: ``source`` is their host.  ``declared`` names a column of declared languages; ``lang``, the
-    label that tables are fitted to, is none unless asked for."""
+    """Documents: ``source`` is their host, whose last label is an address suffix if it has several.  ``declared``
+    names a column of declared languages; ``lang``, the label that tables are fitted to, is none unless asked for
+    (fit in folds then)."""
     none = F.lit(None).cast("string")
     said = F.col(declared).cast("string") if declared else none
     source = F.col("source").cast("string")
-    return docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text"), said.alias("declared"), none.alias("suffix"), _domain(source).alias("domain"), source.alias("host"))
+    suffix = F.lower(F.regexp_extract(source, r"^[^\s/]+\.([A-Za-z][A-Za-z0-9-]*)$", 1))
+    return docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text"), said.alias("declared"), F.when(suffix != "", suffix).alias("suffix"), _domain(source).alias("domain"), source.alias("host"))
 
 
 def _domain(host: Column) -> Column:

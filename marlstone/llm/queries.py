@@ -34,10 +34,10 @@ def op2_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .language_id import document_rows, identify, train
+    from .language_id import FOLDS, document_rows, identify, train
 
     docs = read(spark, sf_dir, "documents")
-    out = identify(document_rows(docs), train(docs))
+    out = identify(document_rows(docs, declared="lang"), train(docs, folds=FOLDS))
     return out.select(F.col("id").alias("doc_id"), "language", "confidence", "text_language", "letters", (~F.col("rejected")).alias("kept"))
 
 

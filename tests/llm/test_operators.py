@@ -758,6 +758,32 @@ def test_language_id_against_brute_force(spark):
         assert abs(got[f[0]]["confidence"] - max(weight) / sum(weight)) < 1e-4 and got[f[0]]["language"] == model[0][e.index(max(e))]
 
 
+def test_language_id_query_fuses_all_evidence(spark, tmp_path):
+    """The query weighs declared language and address suffix, and no row's label supports its own text."""
+    import numpy as np
+
+    from marlstone.llm import language_id as li
+    from marlstone.llm.queries import op4_language_id
+
+    rng = random.Random(5)
+    sounds = {"aa": ["the", "ing", "tion"], "bb": ["eau", "ou", "que"]}
+    make = lambda lang: " ".join("".join(rng.choice(sounds[lang]) for _ in range(2)) for _ in range(12))
+    rows = [(i, make(lang := "bb" if i % 3 == 0 else "aa"), lang, f"h{i % 4}.site.{lang}", 0) for i in range(300)]
+    # Equal texts, told apart by the declared language alone, or by the suffix of unknown hosts.
+    rows += [(1000, "zz", "bb", None, 0), (1001, "zz", "aa", None, 0), (1002, "xx", None, "new.other.BB", 0), (1003, "xx", None, "new.others.aa", 0)]
+    docs = spark.createDataFrame(rows, DOCS)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["language"] for r in op4_language_id(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows) and all(got[r[0]] == r[2] for r in rows[:300])
+    assert (got[1000], got[1001]) == ("bb", "aa")
+    assert (got[1002], got[1003]) == ("bb", "aa")
+
+    names, tables = li.train(docs, folds=2)
+    for fold in range(2):
+        alone = li.train(docs.where(li.fold_of(F.col("doc_id"), 2) != fold))
+        assert alone[0] == names and np.allclose(alone[1], tables[fold])
+
+
 def test_pipeline_stages(spark, tmp_path):
     pytest.importorskip("public_tokenizers")
     import corpus_pipeline
